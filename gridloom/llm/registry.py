@@ -1,11 +1,17 @@
 """The subpackage's queries, and DuckDB SQL for those that SQL can express."""
 
+from . import grace_dedup, line_dedup
 from .packing import op1_best_fit_packing
 from .sentencepiece_codec import op2_sentencepiece
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op8_exact_dedup": grace_dedup.op8_exact_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exact_dedup": grace_dedup.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
