@@ -3,10 +3,12 @@
 from . import grace_dedup, line_dedup
 from .packing import op1_best_fit_packing
 from .sentencepiece_codec import op2_sentencepiece
+from .simhash import op4_simhash
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_simhash": op4_simhash,
     "op8_exact_dedup": grace_dedup.op8_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
