@@ -1,6 +1,6 @@
 """The subpackage's queries, and DuckDB SQL for those that SQL can express."""
 
-from . import grace_dedup, line_dedup
+from . import grace_dedup, line_dedup, topk_search, toxicity
 from .packing import op1_best_fit_packing
 from .sentencepiece_codec import op2_sentencepiece
 from .simhash import op4_simhash
@@ -8,12 +8,15 @@ from .simhash import op4_simhash
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_exact_top_k": topk_search.op5_exact_top_k,
     "op8_exact_dedup": grace_dedup.op8_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_exact_top_k": topk_search.ORACLE,
     "op8_exact_dedup": grace_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
