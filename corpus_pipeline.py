@@ -1,11 +1,68 @@
-"""Corpus pipeline over documents; the stages are put in as their operators come."""
+"""Corpus pipeline: documents that are good, without repeated lines, near copies and personal data, packed for training."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import written
+from gridloom.llm.line_dedup import drop_common_lines
+from gridloom.llm.packing import best_fit_pack, public_tokenizer
+from gridloom.llm.pii import pseudonymise_documents
+from gridloom.llm.quality import classify_quality
+from gridloom.llm.simhash import near_duplicates
+
+
+def with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
+    """The columns of documents with a new text and its length."""
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return docs.select(*(new[c].alias(c) if c in new else F.col(c) for c in columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True).filter("_kept").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more stay only in the document that brought them first."""
+    return with_text(drop_common_lines(docs, keep_first=True), F.col("kept_text"), docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    found = near_duplicates(docs)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become pseudonyms."""
+    return with_text(pseudonymise_documents(docs), F.col("text"), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's place in the packed sequences."""
+    return best_fit_pack(docs, public_tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("pii_pseudonyms", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL can't express the classifier, XXH64 or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each but the last is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs)
     return docs

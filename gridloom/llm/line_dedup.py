@@ -1,6 +1,6 @@
 """Operator 10, line deduplication over levelled sorted runs of line hashes. DataFrame functions only.
 
-A LineRuns store holds runs: tables of (h1, h2, n) with n documents per line key, dealt by hash into a fixed number of partitions
+A LineRuns store holds runs: tables of (h1, h2, n, first) with n documents per line key and the first of them, dealt by hash into a fixed number of partitions
 and sorted in each, so that runs merge-join without a shuffle or a sort. A batch of documents counts its keys, is
 merge-anti-joined with the keys already known to be common, and is added as a run of level 0. Once a level has `fanout` runs they
 are compacted into one of the next level. A line key is known by 128 bits of hash.
@@ -55,7 +55,7 @@ class LineRuns:
         return [r for level in self.levels for r in level]
 
     def add(self, counts: DataFrame) -> None:
-        """A batch's (h1, h2, n). Keys that a run already knows as common are left out: their count can change nothing."""
+        """A batch's (h1, h2, n, first). Keys that a run already knows as common are left out: their count can change nothing."""
         new = counts.repartition(self.partitions, "h1", "h2")
         for run in self.runs():
             new = new.join(run.filter(F.col("n") >= self.common).hint("merge"), ["h1", "h2"], "left_anti")
@@ -72,33 +72,37 @@ class LineRuns:
         out = runs[0]
         for r in runs[1:]:
             out = out.unionByName(r)
-        return self._run(out.groupBy("h1", "h2").agg(F.sum("n").alias("n")))
+        return self._run(out.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
 
     def common_keys(self) -> DataFrame:
-        """(h1, h2) of the keys found in at least `common` documents."""
+        """(h1, h2, first) of the keys found in at least `common` documents."""
         runs = self.runs()
         every = runs[0] if len(runs) == 1 else self._merged(runs)
-        return every.filter(F.col("n") >= self.common).select("h1", "h2")
+        return every.filter(F.col("n") >= self.common).select("h1", "h2", "first")
 
 
 def batch_counts(docs: DataFrame, batches: int, least: int) -> DataFrame:
-    """(batch, h1, h2, n): documents per line key of each batch; every document is in one."""
+    """(batch, h1, h2, n, first): documents per line key of each batch; every document is in one."""
     keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(distinct_keys(F.col("text"), least)).alias("k"))
-    return keyed.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"))
+    return keyed.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
+def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches: int = 4, keep_first: bool = False, runs: LineRuns | None = None) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text: without the lines whose key at least `common` documents have.
 
-    `runs` may hold earlier corpora; docs are added to it as `batches` batches.
+    With `keep_first`, such lines stay in the document that brought them first: the smallest doc_id of the earliest batch.
+    `runs` may hold earlier corpora; docs are added to it as `batches` batches. Columns of these names are replaced.
     """
     runs = runs or LineRuns(docs.sparkSession, common)
     counts = cut(batch_counts(docs, batches, least))
     for b in range(batches):
         runs.add(counts.filter(F.col("batch") == b).drop("batch"))
-    keys = cut(runs.common_keys())
+    keys = runs.common_keys()
     lines = docs.select("doc_id", F.explode(distinct_keys(F.col("text"), least)).alias("_k")).select("doc_id", "_k.h1", "_k.h2")
-    hits = salted_join(lines, keys, ["h1", "h2"], F.col("doc_id")).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_common"))
+    found = salted_join(lines, keys, ["h1", "h2"], F.col("doc_id"))
+    if keep_first:
+        found = found.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    hits = found.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_common"))
     hits = hits.withColumnRenamed("doc_id", "_doc")
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_doc"]), "left").drop("_doc")
     lines_ = lines_of(F.col("text"))
