@@ -24,20 +24,19 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """Stripped of ASCII white space at both ends, A-Z lower-cased; pure ASCII takes the faster way."""
-    bare = F.btrim(line, F.lit(SPACE))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_hashes(lines: Column, least: int) -> Column:
+    """struct(h1, h2) of each line's key, null where the key has under `least` code points.
 
-
-def key_hash(line: Column, least: int) -> Column:
-    """struct(h1, h2) of the line's key, or null if the key has under `least` code points."""
-    key = line_key(line)
-    return F.when(F.length(key) >= least, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")))
+    Keys are stripped of ASCII white space at both ends and A-Z lower-cased; pure ASCII takes the faster way. One array step after
+    the other, so that nothing is worked out twice.
+    """
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(SPACE)))
+    keys = F.transform(bare, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
+    return F.transform(keys, lambda x: F.when(F.length(x) >= least, F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"))))
 
 
 def distinct_keys(text: Column, least: int) -> Column:
-    return F.array_compact(F.array_distinct(F.transform(lines_of(text), lambda x: key_hash(x, least))))
+    return F.array_compact(F.array_distinct(line_hashes(lines_of(text), least)))
 
 
 class LineRuns:
@@ -83,7 +82,7 @@ class LineRuns:
 
 def batch_counts(docs: DataFrame, batches: int, least: int) -> DataFrame:
     """(batch, h1, h2, n, first): documents per line key of each batch; every document is in one."""
-    keyed = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(distinct_keys(F.col("text"), least)).alias("k"))
+    keyed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(distinct_keys(F.col("text"), least)).alias("k"))
     return keyed.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
@@ -106,7 +105,8 @@ def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches
     hits = hits.withColumnRenamed("doc_id", "_doc")
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_doc"]), "left").drop("_doc")
     lines_ = lines_of(F.col("text"))
-    kept = F.filter(lines_, lambda x: ~F.coalesce(F.array_contains(F.col("_common"), key_hash(x, least)), F.lit(False)))
+    both = F.arrays_zip(lines_.alias("line"), line_hashes(lines_, least).alias("key"))
+    kept = F.filter(both, lambda x: ~F.coalesce(F.array_contains(F.col("_common"), x["key"]), F.lit(False)))["line"]
     joined = joined.withColumn("_kept", F.when(F.col("_common").isNull(), lines_).otherwise(kept))
     joined = joined.withColumn("n_lines", F.size(lines_).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
     return joined.withColumn("kept_text", F.array_join("_kept", "\n")).drop("_kept", "_common")
