@@ -156,11 +156,10 @@ def _vectorised(fn):
         except ValueError:
             return NAN
 
-    @F.pandas_udf("double")
-    def udf(x: pd.Series) -> pd.Series:
+    def batch(x: pd.Series) -> pd.Series:
         return x.map(each)
 
-    return lambda x: udf(_d(x))
+    return lambda x: F.pandas_udf(batch, "double")(_d(x))
 
 
 gamma = _vectorised(math.gamma)

@@ -272,6 +272,7 @@ def block_multiply(a, b, block: int = 512):
 
     if a.cols != b.rows:
         raise ShapeError("inner dimensions must agree")
+    rows, cols = a.rows, b.cols
 
     def blocks(m, row: str, col: str) -> DataFrame:
         at = m.df.select(F.floor(F.col("i") / block).alias(row), F.floor(F.col("j") / block).alias(col), F.struct((F.col("i") % block * block + F.col("j") % block).cast("int").alias("at"), "v").alias("c"))
@@ -288,10 +289,10 @@ def block_multiply(a, b, block: int = 512):
                 bi, bj = one["bi"].as_py(), one["bj"].as_py()
                 i, j = np.divmod(np.arange(block * block), block)
                 i, j = i + bi * block, j + bj * block
-                ok = (i < a.rows) & (j < b.cols)
+                ok = (i < rows) & (j < cols)
                 yield pa.RecordBatch.from_arrays([pa.array(i[ok]), pa.array(j[ok]), pa.array(got[ok])], ["i", "j", "v"])
 
     left, right = blocks(a, "bi", "bk"), blocks(b, "bk2", "bj")
     pairs = left.join(right, F.col("bk") == F.col("bk2"))
     out = pairs.select("bi", "bj", "at_bi", "v_bi", "at_bk2", "v_bk2").mapInArrow(multiply, "i long, j long, v double")
-    return Matrix(out.groupBy("i", "j").agg(F.sum("v").alias("v")), a.rows, b.cols)
+    return Matrix(out.groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols)

@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import elementwise, matrices, texts
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (elementwise, matrices, texts):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
