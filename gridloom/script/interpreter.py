@@ -218,7 +218,7 @@ class Interpreter:
         if kind == "name":
             self.put(target[1], value)
         elif kind == "field":
-            base = self.get(target[1][1]) if target[1][0] == "name" else self.eval(target[1])
+            base = self.held(target[1])
             base = base if isinstance(base, dict) else {}
             base[target[2]] = value
             self.store(target[1], base)
@@ -232,6 +232,15 @@ class Interpreter:
         else:
             self.store_cell(target, value)
 
+    def held(self, target):
+        """What a name or field has now, or nothing."""
+        if target[0] == "name":
+            return self.get(target[1])
+        if target[0] == "field":
+            base = self.held(target[1])
+            return base.get(target[2]) if isinstance(base, dict) else None
+        return self.eval(target)
+
     def store_cell(self, target, value) -> None:
         base = self.eval(target[1])
         if isinstance(base, dict | list) and not isinstance(base, np.ndarray):
