@@ -35,8 +35,8 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node in links(a, b); component is its smallest reachable node.
 
-    Each round: every node points to its smallest neighbour or itself, two jumps shorten the pointers, and links are contracted
-    to the nodes pointed to. Joins on nodes that many others point to are salted. Nothing comes to the driver but a row test.
+    Each round: every node points to its smallest neighbour or itself, pointers jump until they end at roots, and links are contracted
+    to the roots. Joins on nodes that many others point to are salted. Nothing comes to the driver but a row test.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     rounds: list[DataFrame] = []
@@ -44,10 +44,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p"))
         up = cut(up)
-        for _ in range(2):
+        while True:  # each jump doubles the reach, so chains take logarithmically many
             over = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            up = salted_join(up, over, ["p"], F.col("node")).select("node", F.col("pp").alias("p"))
-        up = cut(up)
+            jumped = cut(salted_join(up, over, ["p"], F.col("node")).select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+            up = jumped.select("node", "p")
+            if jumped.filter("moved").isEmpty():
+                break
         rounds.append(up)
         for end in ("a", "b"):
             to = up.select(F.col("node").alias(end), F.col("p").alias("_p"))

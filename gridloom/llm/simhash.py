@@ -5,8 +5,9 @@
 2. Equal fingerprints are one node, named by its smallest doc_id.
 3. Two fingerprints within d bits agree on two of d + 2 blocks of bits, so each node goes to one bucket per pair of blocks. In a
    bucket, a table of Hamming distances to reference fingerprints discards the pairs whose largest coordinate difference is over
-   d (the triangle inequality), and the survivors are verified. A bucket of over `tile` nodes is split by four more blocks of its
-   free bits (one of them agrees too), again and again: the rows grow in proportion to the bucket, not with its square.
+   d (the triangle inequality), and the survivors are verified. Nodes of buckets of over `tile` nodes (dense balls of near
+   copies) meet at points instead: two nodes within 3 bits share a point within 1 bit of one and 2 of the other, so each node
+   goes to a fixed number of points and a point has a bounded number of nodes: the rows grow with the bucket, not its square.
 4. Tasks reduce their links to stars; components come from rounds over those (graph.py).
 
 Defined results: null and empty texts and texts without words have fingerprint zero and are linked like any others; fewer words
@@ -114,13 +115,6 @@ def signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def finer_masks(mask: int, bits: int) -> list[int]:
-    """The mask with each of bits + 1 blocks of its free bits."""
-    free = [k for k in range(64) if not mask >> k & 1]
-    edges = np.linspace(0, len(free), bits + 2).round().astype(int).tolist()
-    return [mask | sum(1 << k for k in free[a:b]) for a, b in zip(edges, edges[1:], strict=False) if b > a]
-
-
 def pivots() -> np.ndarray:
     """Reference fingerprints, the same in every task."""
     return xxh64_many(np.arange(PIVOTS, dtype=np.uint8), np.arange(PIVOTS), np.ones(PIVOTS, np.int64), 7)
@@ -179,41 +173,69 @@ def links_in_buckets(bits: int):
     return run
 
 
-def split_further(bits: int):
+def ball(radius: int) -> np.ndarray:
+    """All 64-bit patterns of at most `radius` bits."""
+    return np.array([sum(1 << k for k in c) for n in range(radius + 1) for c in combinations(range(64), n)], np.uint64)
+
+
+def meeting_points(bits: int):
+    """Rows (z, near, rep): the points within bits // 2 (near) and within the rest of `bits` of each node. Two nodes within `bits`
+    meet at a point that is near to one of them and within the rest of the other."""
+    inner, outer = ball(bits // 2), ball(bits - bits // 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask, fp, rep = np.asarray(batch.column("mask")), np.asarray(batch.column("fp")), np.asarray(batch.column("rep"))
-            for m in np.unique(mask).tolist():
-                own = mask == m
-                for finer in finer_masks(m % 2**64, bits):
-                    f, r = fp[own], rep[own]
-                    s = np.int64(signed(finer))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), s)), pa.array(f & s), pa.array(f), pa.array(r)], ["mask", "key", "fp", "rep"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                fp, rep = np.asarray(part.column("fp")).view(np.uint64), np.asarray(part.column("rep"))
+                for points, near in ((inner, True), (outer[len(inner) :], False)):
+                    z = (fp[:, None] ^ points[None, :]).reshape(-1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(z), pa.array(np.full(len(z), near)), pa.array(np.repeat(rep, len(points)))], ["z", "near", "rep"])
 
     return run
 
 
+def links_at_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by z, near ones first: every member of a point that has a near one is linked to its first near one. A point has
+    no more members than there are patterns of that many bits, so a point held over to the next batch is small."""
+    held: pa.Table | None = None
+
+    def emit(rows: pa.Table):
+        z, near, rep = (np.asarray(rows[c].combine_chunks().cast(pa.int64())) for c in ("z", "near", "rep"))
+        begin = np.flatnonzero(np.append(True, z[1:] != z[:-1]))
+        size = np.diff(np.append(begin, len(z)))
+        to = np.repeat(np.where(near[begin] == 1, rep[begin], -1), size)
+        has = np.repeat(near[begin] == 1, size) & (to != rep)
+        x, y = local_stars(rep[has], to[has])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        z = np.asarray(rows["z"])
+        whole = int(np.searchsorted(z, z[-1])) if len(z) else 0
+        if whole:
+            yield emit(rows.slice(0, whole))
+        held = rows.slice(whole)
+    if held is not None and held.num_rows:
+        yield emit(held)
+
+
 def find_links(nodes: DataFrame, bits: int, tile: int = TILE) -> DataFrame:
     """Links (a, b) between nodes(fp, rep) whose components are those of all pairs within `bits` bits."""
     masks = F.array(*[F.lit(signed(m)) for m in block_masks(bits)])
     keyed = nodes.select("fp", "rep", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "rep")
-    links = None
-    while True:
-        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"))
-        large = sizes.filter(F.col("n") > tile).select("mask", "key")
-        any_large = not large.isEmpty()
-        small = keyed
-        if any_large:
-            large = written(large)
-            spread = large.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
-            tagged = keyed.withColumn("_s", F.pmod(F.xxhash64("fp"), F.lit(32)).cast("int")).join(spread.withColumn("_large", F.lit(True)), ["mask", "key", "_s"], "left").drop("_s")
-            tagged = written(tagged)
-            small = tagged.filter("_large is null").drop("_large")
-        found = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(links_in_buckets(bits), "a long, b long")
-        links = found if links is None else links.unionByName(found)
-        if not any_large:
-            return links
-        keyed = tagged.filter("_large").select("mask", "key", "fp", "rep").mapInArrow(split_further(bits), "mask long, key long, fp long, rep long")
+    large = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > tile).select("mask", "key")
+    small, dense = keyed, None
+    if not large.isEmpty():
+        spread = written(large).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+        salted = keyed.withColumn("_s", F.pmod(F.xxhash64("fp"), F.lit(32)).cast("int"))
+        tagged = written(salted.join(spread.withColumn("_large", F.lit(True)), ["mask", "key", "_s"], "left").drop("_s"))
+        small = tagged.filter("_large is null").drop("_large")
+        crowd = tagged.filter("_large").select("fp", "rep").distinct()
+        points = crowd.mapInArrow(meeting_points(bits), "z long, near boolean, rep long")
+        dense = points.repartition("z").sortWithinPartitions("z", F.desc("near"), "rep").mapInArrow(links_at_points, "a long, b long")
+    found = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(links_in_buckets(bits), "a long, b long")
+    return found if dense is None else found.unionByName(dense)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, tile: int = TILE) -> DataFrame:
