@@ -42,7 +42,7 @@ class Best:
     """The k best (score, vec_id) of each query so far."""
 
     def __init__(self, queries: int, k: int):
-        self.score = np.full((queries, k), -(2**63), np.int64)
+        self.score = np.full((queries, k), -(2**63 - 1), np.int64)  # can be negated
         self.id = np.full((queries, k), 2**63 - 1, np.int64)
 
     def floor(self) -> np.ndarray:
