@@ -1,7 +1,7 @@
 """Operator 3, toxicity by non-negative positive-unlabelled learning.
 
 Trained from confirmed toxic documents (positives) and plain documents whose labels are not looked at (unlabelled). The risk of a
-linear scorer g over words is  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss l and the class prior
+linear scorer g over words and word beginnings is  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss l and the class prior
 pi, the share of toxic ones among the labelled training rows; where the second term would be negative its gradient is turned
 round. A score is a fixed monotone map of g, set on labelled training rows so that 0.7 is the cut of the best F1.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, slices, text_words
 
+#: Lengths of the word beginnings that are features.
+STEMS = (4, 5, 6, 7, 8)
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -57,13 +59,10 @@ def sigmoid(x):
 
 
 class SparseRows:
-    """0/1 rows over chosen words."""
+    """0/1 rows over chosen features."""
 
-    def __init__(self, lists: list[list[str]], index: dict[str, int]):
-        found = [[index[w] for w in ws if w in index] for ws in lists]
-        self.n, self.width = len(found), len(index)
-        self.row = np.repeat(np.arange(self.n), [len(f) for f in found])
-        self.col = np.array([c for f in found for c in f], np.int64)
+    def __init__(self, row: np.ndarray, col: np.ndarray, n: int, width: int):
+        self.row, self.col, self.n, self.width = row, col, n, width
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
@@ -72,36 +71,86 @@ class SparseRows:
         return np.bincount(self.col, g[self.row], self.width)
 
 
-def one_of_each_family(lists: list[list[str]], hashes: int = 4) -> list[list[str]]:
-    """Training documents without copies and near copies of earlier ones: those that share a smallest word hash. A family of
-    copies would otherwise make its every word look like evidence."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for ws in lists:
-        raw = [w.encode() for w in ws if len(w) > 3]
-        marks = {(k, min(map(zlib.crc32, raw, [k] * len(raw)), default=0)) for k in range(hashes)}
-        if not raw or not marks & seen:
-            out.append(ws)
-        seen |= marks
-    return out
-
-
-def choose_words(positive: list[list[str]], unlabelled: list[list[str]], most: int, deviations: float = 4.0) -> dict[str, int]:
-    """Words whose share of the positives is over their share of the unlabelled by `deviations` standard deviations, best first."""
-    p, u = {}, {}
-    for table, lists in ((p, positive), (u, unlabelled)):
-        for ws in lists:
-            for w in ws:
-                if w:
-                    table[w] = table.get(w, 0) + 1
-    a, b = len(positive), len(unlabelled)
-    value = {}
-    for w, n in p.items():
-        if n >= 3:
-            pooled = (n + u.get(w, 0) + 1) / (a + b + 2)
-            value[w] = (n / a - u.get(w, 0) / b) / np.sqrt(pooled * (1 - pooled) * (1 / a + 1 / b))
-    chosen = sorted((w for w, z in value.items() if z >= deviations), key=lambda w: (-value[w], w))[:most]
-    return {w: i for i, w in enumerate(sorted(chosen))}
+def word_features(word: str) -> list[str]:
+    """The word itself, and its beginnings of STEMS letters with a star: inflected and compound forms share those."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)] if word else []
+
+
+def feature_rows(row: np.ndarray, number: np.ndarray, words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs, each once, of (row, word number) pairs. A beginning that two different words of a text share is a
+    second feature, written with two stars."""
+    kinds = 1 + len(STEMS)
+    once, twice = np.full((2, len(words) + 1, kinds), -1, np.int64)
+    for i, w in enumerate(words):
+        for k, f in enumerate(word_features(w)):
+            once[i, k] = index.get(f, -1)
+            if k:
+                twice[i, k] = index.get(f + "*", -1)
+    rows, cols = [], []
+    width = max(index.values(), default=0) + 1
+    for table, least in ((once, 1), (twice, 2)):
+        for k in range(kinds):
+            f = table[number, k]
+            pair, times = np.unique((row * width + f)[f >= 0], return_counts=True)
+            pair = pair[times >= least]
+            rows.append(pair // width)
+            cols.append(pair % width)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+class Sample:
+    """Documents of the training sample as word numbers; every distinct word is held once."""
+
+    def __init__(self, rows: pa.Table):
+        self.kind = np.asarray(rows["kind"]).astype(np.int64)
+        lists = rows["words"].combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        self.words: list[str] = coded.dictionary.to_pylist()
+        self.number = np.asarray(coded.indices).astype(np.int64)
+        self.row = np.repeat(np.arange(len(self.kind)), np.asarray(lists.value_lengths()).astype(np.int64))
+
+    def first_of_families(self, hashes: int = 4) -> np.ndarray:
+        """Whether a document is no copy or near copy of an earlier one of its kind: those share a smallest word hash. A family of
+        copies would otherwise make its every word look like evidence."""
+        raw = [w.encode() if len(w) > 3 else b"" for w in self.words]
+        least = np.full((hashes, len(self.kind)), 2**32, np.int64)
+        for k in range(hashes):
+            h = np.fromiter((zlib.crc32(w, k) if w else 2**32 for w in raw), np.int64, len(raw))
+            np.minimum.at(least[k], self.row, h[self.number])
+        out = np.ones(len(self.kind), bool)
+        seen: set[tuple[int, int, int]] = set()
+        for i, kind in enumerate(self.kind.tolist()):
+            marks = {(kind, k, int(m)) for k, m in enumerate(least[:, i]) if m < 2**32}
+            out[i] = not marks & seen
+            seen |= marks
+        return out
+
+    def choose(self, most: int, deviations: float = 4.0, lift: float = 2.0) -> dict[str, int]:
+        """Features whose share of the positives (kind 1) is over their share of the unlabelled (kind 2) by `deviations` standard
+        deviations and `lift` times as large, best first."""
+        own = self.first_of_families()
+        here = own[self.row] & (self.kind[self.row] == 1)
+        spelled = sorted({f for i in np.unique(self.number[here]).tolist() for f in word_features(self.words[i])})
+        spelled += [f + "*" for f in spelled if f.endswith("*")]
+        index = {f: i for i, f in enumerate(spelled)}
+        count, size = np.zeros((2, len(spelled))), np.zeros(2)
+        for at, kind in enumerate((1, 2)):
+            use = own & (self.kind == kind)
+            size[at] = use.sum()
+            some = use[self.row]
+            count[at] = np.bincount(feature_rows(self.row[some], self.number[some], self.words, index)[1], minlength=len(spelled))
+        share = count / np.maximum(size, 1)[:, None]
+        pooled = (count.sum(0) + 1) / (size.sum() + 2)
+        z = (share[0] - share[1]) / np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(size, 1)).sum())
+        good = np.flatnonzero((count[0] >= 3) & (z >= deviations) & (share[0] >= lift * share[1]))
+        best = good[np.lexsort((good, -z[good]))][:most]
+        return {spelled[i]: k for k, i in enumerate(sorted(best.tolist()))}
+
+    def rows_of(self, kind: int, index: dict[str, int]) -> SparseRows:
+        nth = np.cumsum(self.kind == kind) - 1
+        some = self.kind[self.row] == kind
+        row, col = feature_rows(nth[self.row[some]], self.number[some], self.words, index)
+        return SparseRows(row, col, int((self.kind == kind).sum()), len(index))
 
 
 def fit_nnpu(positive: SparseRows, unlabelled: SparseRows, prior: float, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -138,17 +187,15 @@ def best_cut(score: np.ndarray, label: np.ndarray) -> float:
 
 
 def score_batches(weights: dict[str, float], intercept: float, cut: float):
+    index = {f: i for i, f in enumerate(weights)}
+    value = np.array([*weights.values(), 0.0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                offsets, number, raw = text_words(part.column("text"), "\n\t\r")
-                known: dict[str, int] = {}
-                code = np.array([known.setdefault(p, len(known)) if (p := plain_word(w)) in weights else -1 for w in raw], np.int64).reshape(-1)
-                each = code[number] if len(raw) else number
-                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))[each >= 0]
-                pair = np.unique(row * (len(known) + 1) + each[each >= 0])
-                value = np.array([weights[w] for w in known] or [0.0])
-                g = intercept + np.bincount(pair // (len(known) + 1), value[pair % (len(known) + 1)], part.num_rows)
+                row, number, words = document_words(part.column("text"))
+                row, col = feature_rows(row, number, words, index)
+                g = intercept + np.bincount(row, value[col], part.num_rows)
                 score = sigmoid(g - cut + np.log(0.7 / 0.3))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -167,13 +214,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     sample = sample.unionByName(bounded_sample(known.filter("toxic <> 1"), F.col("doc_id"), checked).select("doc_id", F.lit(0).alias("kind")))
     sample = sample.unionByName(bounded_sample(plain.select("doc_id"), F.xxhash64(F.lit("u"), F.col("doc_id")), unlabelled).select("doc_id", F.lit(2).alias("kind")))
     rows = plain.join(F.broadcast(sample), "doc_id").mapInArrow(word_lists, "doc_id long, kind int, words array<string>").toArrow()  # bounded by the sample sizes
-    kind = np.asarray(rows["kind"])
-    lists = rows["words"].to_pylist()
-    of = {k: [ws for ws, x in zip(lists, kind.tolist(), strict=True) if x == k] for k in (0, 1, 2)}
-    if not of[1] or not of[2]:
+    drawn = Sample(rows)
+    if not (drawn.kind == 1).any() or not (drawn.kind == 2).any():
         return None
-    index = choose_words(one_of_each_family(of[1]), one_of_each_family(of[2]), most_words)
-    p, u, n = (SparseRows(of[k], index) for k in (1, 2, 0))
+    index = drawn.choose(most_words)
+    p, u, n = (drawn.rows_of(k, index) for k in (1, 2, 0))
     w, b = fit_nnpu(p, u, prior)
     # Labelled negatives are a sample of another rate than positives; both are weighed as found.
     share = (rates["t"] / max(1, p.n)) / (max(1, rates["n"] - rates["t"]) / max(1, n.n)) if n.n else 1.0

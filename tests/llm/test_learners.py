@@ -50,7 +50,7 @@ def test_fit_lowers_the_stated_risk():
     rng = np.random.default_rng(0)
     lists = [[f"w{k}" for k in np.flatnonzero(rng.random(6) < p)] for p in [0.7] * 40 + [0.3] * 80]
     index = {f"w{k}": k for k in range(6)}
-    p, u = tx.SparseRows(lists[:40], index), tx.SparseRows(lists[40:], index)
+    p, u = (tx.SparseRows(np.repeat(np.arange(len(x)), list(map(len, x))), np.array([index[w] for ws in x for w in ws]), len(x), 6) for x in (lists[:40], lists[40:]))
     w, b = tx.fit_nnpu(p, u, 0.2, 2000, 0.02)
 
     def risk(w, b):
@@ -61,6 +61,16 @@ def test_fit_lowers_the_stated_risk():
     assert best < risk(np.zeros(6), float(np.log(0.25))) and all(risk(w + rng.normal(0, 0.2, 6), b + rng.normal(0, 0.2)) > best - 0.02 for _ in range(50))
 
 
+def test_word_beginnings_are_features():
+    """By hand: a word, a beginning that some word goes on from, and a beginning that two words share."""
+    words = ["abcdef", "abcdxy", "abcd", ""]
+    index = {"abcd": 0, "abcd*": 1, "abcd**": 2, "abcde*": 3, "zzzz*": 4}
+    row, number = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 2, 3])
+    r, c = tx.feature_rows(row, number, words, index)
+    assert sorted(zip(r.tolist(), c.tolist(), strict=True)) == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 3), (2, 0)]
+    assert all(len(x) == 0 for x in tx.feature_rows(row[:0], number[:0], [], {}))
+
+
 def test_language_held_out(spark):
     docs, _ = tables(spark)
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
