@@ -10,7 +10,7 @@ from gridloom.llm.line_dedup import drop_common_lines
 from gridloom.llm.packing import best_fit_pack, public_tokenizer
 from gridloom.llm.pii import pseudonymise_documents
 from gridloom.llm.quality import classify_quality
-from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.set_similarity import near_copies
 
 
 def with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -30,10 +30,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = near_duplicates(docs)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    """Of each group of near copies (five-word shingle sets, similarity 0.8 or more) the document with the smallest id stays."""
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_copies(numbered.select("_row", "text")).join(numbered.select("_row", "doc_id"), "_row")
+    stay = found.groupBy("component").agg(F.min("doc_id").alias("_stay")).select("_stay").distinct()
+    return numbered.join(stay, numbered["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
