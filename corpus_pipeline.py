@@ -30,11 +30,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingle sets, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingle sets, similarity 0.8 or more) one row stays: that of the smallest id, ids that
+    are null last, and of rows with that id the first."""
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     found = near_copies(numbered.select("_row", "text")).join(numbered.select("_row", "doc_id"), "_row")
-    stay = found.groupBy("component").agg(F.min("doc_id").alias("_stay")).select("_stay").distinct()
-    return numbered.join(stay, numbered["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").select(*docs.columns)
+    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as cp
 from gridloom.llm import set_similarity as ss
 
@@ -56,5 +58,24 @@ def test_stage_finds_all_pairs_of_similarity_0_8(spark):
     assert 20 < len(want) < len(texts) - 20
 
 
+def test_one_row_of_each_group_stays_for_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(50)) for k in "abc")
+    rows = [(1, a), (1, a), (1, a + " more"), (None, b), (None, b), (None, c), (7, c), (7, "other text of the same id here"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], (r["text"] or "")[:2]) for r in cp.near_dedup_stage(spark, docs, SF).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a0"), (None, "b0"), (7, "c0"), (7, "ot"), (None, "")]))
+
+
+def test_maps_never_count_more_than_differs():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, m = rng.integers(1, 400, 2)
+        pool = rng.integers(0, 2**63, 500).astype(np.uint64)
+        x, y = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
+        p, q = ss.parity_maps(np.array([len(x), len(y)]), np.concatenate([x, y]))
+        size = min(len(p), len(q))
+        assert np.bitwise_count(ss.folded(p, size) ^ ss.folded(q, size)).sum() <= len(np.setxor1d(x, y))
+
+
 def test_no_texts(spark):
     assert ss.near_copies(spark.createDataFrame([], "_row long, text string")).count() == 0
