@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, slices, text_words
+from .common import bounded_sample, gather, held_out, slices, text_words
 
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
+#: Penalties to choose from on training rows; the first where they are too few.
+PENALTIES = (1e-3, 1e-4, 1e-2)
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -109,26 +111,30 @@ class Sample:
         self.number = np.asarray(coded.indices).astype(np.int64)
         self.row = np.repeat(np.arange(len(self.kind)), np.asarray(lists.value_lengths()).astype(np.int64))
 
-    def first_of_families(self, hashes: int = 4) -> np.ndarray:
-        """Whether a document is no copy or near copy of an earlier one of its kind: those share a smallest word hash. A family of
-        copies would otherwise make its every word look like evidence."""
-        raw = [w.encode() if len(w) > 3 else b"" for w in self.words]
-        least = np.full((hashes, len(self.kind)), 2**32, np.int64)
-        for k in range(hashes):
-            h = np.fromiter((zlib.crc32(w, k) if w else 2**32 for w in raw), np.int64, len(raw))
-            np.minimum.at(least[k], self.row, h[self.number])
+    def first_of_families(self) -> np.ndarray:
+        """Whether a document is no copy or near copy of an earlier one of its kind: the sets of their words of over 3 letters have a
+        similarity (Jaccard) of 0.8 or more. A family of copies would otherwise make its every word look like evidence."""
         out = np.ones(len(self.kind), bool)
-        seen: set[tuple[int, int, int]] = set()
-        for i, kind in enumerate(self.kind.tolist()):
-            marks = {(kind, k, int(m)) for k, m in enumerate(least[:, i]) if m < 2**32}
-            out[i] = not marks & seen
-            seen |= marks
+        long_ = np.array([len(w) > 3 for w in self.words], bool)
+        for kind in np.unique(self.kind).tolist():
+            use = (self.kind[self.row] == kind) & long_[self.number]
+            row, number = self.row[use], self.number[use]
+            size = np.bincount(row, minlength=len(self.kind))
+            order = np.lexsort((row, number))
+            holders = row[order]  # of each word, in order of documents
+            start = np.searchsorted(number[order], np.arange(len(self.words)))
+            seen = np.zeros(len(self.words), np.int64)
+            begin = np.searchsorted(row, np.arange(len(self.kind) + 1))
+            for i in np.flatnonzero(size).tolist():
+                own = number[begin[i] : begin[i + 1]]
+                common = np.bincount(holders[gather(start[own], seen[own])], minlength=1)
+                out[i] = not (9 * common >= 4 * (size[: len(common)] + size[i])).any() if common.any() else True
+                seen[own] += 1
         return out
 
-    def choose(self, most: int, deviations: float = 4.0, lift: float = 2.0) -> dict[str, int]:
+    def choose(self, most: int, own: np.ndarray, deviations: float = 4.0, lift: float = 2.0) -> dict[str, int]:
         """Features whose share of the positives (kind 1) is over their share of the unlabelled (kind 2) by `deviations` standard
-        deviations and `lift` times as large, best first."""
-        own = self.first_of_families()
+        deviations and `lift` times as large, best first. Only documents marked in `own` are counted."""
         here = own[self.row] & (self.kind[self.row] == 1)
         spelled = sorted({f for i in np.unique(self.number[here]).tolist() for f in word_features(self.words[i])})
         spelled += [f + "*" for f in spelled if f.endswith("*")]
@@ -146,11 +152,30 @@ class Sample:
         best = good[np.lexsort((good, -z[good]))][:most]
         return {spelled[i]: k for k, i in enumerate(sorted(best.tolist()))}
 
-    def rows_of(self, kind: int, index: dict[str, int]) -> SparseRows:
-        nth = np.cumsum(self.kind == kind) - 1
-        some = self.kind[self.row] == kind
+    def rows_of(self, kind: int, index: dict[str, int], only: np.ndarray | None = None) -> SparseRows:
+        mine = self.kind == kind if only is None else (self.kind == kind) & only
+        nth = np.cumsum(mine) - 1
+        some = mine[self.row]
         row, col = feature_rows(nth[self.row[some]], self.number[some], self.words, index)
-        return SparseRows(row, col, int((self.kind == kind).sum()), len(index))
+        return SparseRows(row, col, int(mine.sum()), len(index))
+
+    def best_penalty(self, most: int, own: np.ndarray, prior: float) -> float:
+        """Of PENALTIES the one whose best F1 on training rows left out of the fit, one half of the positives at a time, is largest."""
+        half = np.cumsum(self.kind == 1) % 2 == 0
+        if (self.kind == 1).sum() < 10 or not (self.kind == 0).any():
+            return PENALTIES[0]
+        total = dict.fromkeys(PENALTIES, 0.0)
+        for left_out in (half, ~half):
+            learn = ~left_out | (self.kind != 1)
+            index = self.choose(most, own & learn)
+            p, u, n, test = self.rows_of(1, index, learn), self.rows_of(2, index), self.rows_of(0, index), self.rows_of(1, index, left_out)
+            for penalty in PENALTIES:
+                w, b = fit_nnpu(p, u, prior, penalty=penalty)
+                gp, gn = test.times(w) + b, n.times(w) + b
+                cut = best_cut(np.concatenate([gp, gn]), np.append(np.ones(len(gp)), np.zeros(len(gn))))
+                hit, false = (gp >= cut).sum(), (gn >= cut).sum()
+                total[penalty] += 2 * hit / max(1, hit + false + len(gp))
+        return max(PENALTIES, key=lambda x: total[x])
 
 
 def fit_nnpu(positive: SparseRows, unlabelled: SparseRows, prior: float, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -217,9 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     drawn = Sample(rows)
     if not (drawn.kind == 1).any() or not (drawn.kind == 2).any():
         return None
-    index = drawn.choose(most_words)
+    own = drawn.first_of_families()
+    index = drawn.choose(most_words, own)
     p, u, n = (drawn.rows_of(k, index) for k in (1, 2, 0))
-    w, b = fit_nnpu(p, u, prior)
+    w, b = fit_nnpu(p, u, prior, penalty=drawn.best_penalty(most_words, own, prior))
     # Labelled negatives are a sample of another rate than positives; both are weighed as found.
     share = (rates["t"] / max(1, p.n)) / (max(1, rates["n"] - rates["t"]) / max(1, n.n)) if n.n else 1.0
     gp, gn = p.times(w) + b, n.times(w) + b

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import language_id as li
@@ -61,6 +62,18 @@ def test_fit_lowers_the_stated_risk():
     assert best < risk(np.zeros(6), float(np.log(0.25))) and all(risk(w + rng.normal(0, 0.2, 6), b + rng.normal(0, 0.2)) > best - 0.02 for _ in range(50))
 
 
+def test_only_near_copies_leave_the_sample():
+    """Unrelated texts of a small vocabulary stay; equal sets and sets of similarity 0.8 or more go, whatever their order."""
+    rng = np.random.default_rng(4)
+    vocabulary = [f"word{k}" for k in range(300)]
+    lists = [sorted(rng.choice(vocabulary, 40, replace=False).tolist()) for _ in range(60)]
+    lists += [lists[3][::-1], [*lists[5][:38], "other", "another"], [*lists[7][:30], *(f"new{k}" for k in range(10))], ["of", "a"], []]
+    kind = [1] * 60 + [1, 1, 1, 1, 1]
+    rows = pa.table({"kind": pa.array(kind), "words": pa.array(lists, pa.list_(pa.string()))})
+    assert tx.Sample(rows).first_of_families().tolist() == [True] * 60 + [False, False, True, True, True]
+    assert tx.Sample(rows.set_column(0, "kind", pa.array([1] * 60 + [2] * 5))).first_of_families().all()
+
+
 def test_word_beginnings_are_features():
     """By hand: a word, a beginning that some word goes on from, and a beginning that two words share."""
     words = ["abcdef", "abcdxy", "abcd", ""]
