@@ -5,7 +5,8 @@ phone numbers, IPv4 addresses, calendar dates, e-mail addresses and 32 to 64 dig
 permuted by a keyed Feistel network over the numbers of its own format (with cycle walking), and written back in that format:
 a card stays a card of its length with a right check digit, a date stays a date, an address an address. The permutation depends on
 the value and key alone, so equal values stay linked across documents however they are written, and unequal values stay apart.
-Numbers that fail validation stay as they are.
+Numbers that fail validation stay as they are. A card, IBAN or phone number that runs on into other text ends at the last separator
+up to which it is valid and cuts no other value.
 
 Defined results: a null text stays null with no finds; an empty text stays empty; overlapping kinds go to the first in the order
 above at the leftmost place; rows that repeat a doc_id are treated each; an empty table gives no rows; other columns pass through.
@@ -34,7 +35,7 @@ FIND = re.compile(
     r"|(?P<ipv4>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
     r"|(?P<date>(?<![0-9/.\-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![0-9]|[/.\-][0-9]))"
     r"|(?P<ssn>(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
-    r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]|-[0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,4}(?![0-9]))"
+    r"|(?P<phone>(?<![0-9+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9]|-[0-9])|(?<![0-9+])\+[0-9](?:[ .\-]?[0-9]){7,16}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}[ .\-]?\([0-9]{1,4}\)(?:[ .\-]?[0-9]){4,13}(?![0-9]))"
     r"|(?P<card>(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9]))",
     re.ASCII,
 )
@@ -220,6 +221,50 @@ def secret(s: str, key: str, back: bool) -> str | None:
 TREAT = {"email": email, "iban": iban, "secret": secret, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card}
 
 
+#: Kinds whose pattern may take in what stands behind a value, and the characters at which it then ends.
+ENDS = {"card": " -", "iban": " ", "phone": " .-"}
+
+
+def kind_of(m: re.Match) -> str:
+    return m.lastgroup if m.lastgroup in TREAT else "date"
+
+
+def digit_count(s: str) -> int:
+    return sum(c.isdigit() for c in s)
+
+
+def cuts_another(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a span ends inside another value that begins at one of its separators; of two cards the longer goes first."""
+    for q in range(start + 1, end):
+        if text[q - 1] in ENDS[kind] and (m := FIND.match(text, q)):
+            other = kind_of(m)
+            if other in ("card", "ipv4", "date", "ssn") and m.end() > end:
+                stop = next((e for e, _ in valid_spans(text, m, "", False) if e > end), None)
+                if stop and (other != "card" or kind != "card" or digit_count(text[q:stop]) > digit_count(text[start:end])):
+                    return True
+    return False
+
+
+def valid_spans(text: str, m: re.Match, key: str, back: bool) -> Iterator[tuple[int, str]]:
+    """(end, pseudonym) of the values that pass validation at the start of a match, longest first: all of it or up to a separator."""
+    kind, start = kind_of(m), m.start()
+    shorter = (e for e in range(m.end() - 1, start, -1) if text[e] in ENDS.get(kind, ""))
+    for e in (m.end(), *shorter):
+        if kind == "card" and e < m.end() and digit_count(text[start:e]) < 13 or not text[e - 1].isalnum():
+            continue
+        new = TREAT[kind](text[start:e], key, back)
+        if new is not None:
+            yield e, new
+
+
+def treated(text: str, m: re.Match, key: str, back: bool) -> tuple[int, str | None]:
+    """(end, pseudonym) of the longest valid value at a match that cuts no other, or (end of the match, None)."""
+    for e, new in valid_spans(text, m, key, back):
+        if kind_of(m) not in ENDS or not cuts_another(text, kind_of(m), m.start(), e):
+            return e, new
+    return m.end(), None
+
+
 def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """(text with pseudonyms, finds as (start, end, kind) in the text given). back undoes it with the same key."""
     if not MAY.search(text):
@@ -227,17 +272,17 @@ def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, list[tup
     found: list[tuple[int, int, str]] = []
     out, done, at = [], 0, 0
     while m := FIND.search(text, at):
-        kind = m.lastgroup if m.lastgroup in TREAT else "date"
-        new = TREAT[kind](m.group(), key, back)
-        at = m.end() if new is not None else m.start() + 1
+        kind = kind_of(m)
+        end, new = treated(text, m, key, back)
+        at = end if new is not None else m.start() + 1
         if new is None and kind not in ("card", "iban"):
             at = m.end() if kind == "ipv4" else m.start() + 1
         if new is None and text[m.start()].isdigit():  # go on behind this number, not inside it
             at = m.start() + len(re.match("[0-9]+", text[m.start() :]).group())
         if new is not None:
-            found.append((m.start(), m.end(), kind))
+            found.append((m.start(), end, kind))
             out += [text[done : m.start()], new]
-            done = m.end()
+            done = end
     return "".join([*out, text[done:]]), found
 
 
