@@ -2,7 +2,7 @@
 
 1. A fingerprint per text: words are cut at ASCII white space, A-Z lower-cased; XXH64 (seed 42) of every shingle, repeats
    included; a bit is set if over half of the hashes have it.
-2. Equal fingerprints are one node, named by its smallest doc_id.
+2. Equal fingerprints are one node, named by the fingerprint; a group is named by its smallest doc_id at the end.
 3. Two fingerprints within d bits agree on two of d + 2 blocks of bits, so each node goes to one bucket per pair of blocks. In a
    bucket, a table of Hamming distances to reference fingerprints discards the pairs whose largest coordinate difference is over
    d (the triangle inequality), and the survivors are verified. Nodes of buckets of over `tile` nodes (dense balls of near
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import salted_join, slices, written
 from .graph import components, local_stars
 from .xxh import xxh64_many
 
@@ -242,9 +242,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3, tile: int =
     """doc_id, fp, component_id: one row per document."""
     prints = written(docs.select("doc_id", "text").mapInArrow(fingerprint_batches(width), "doc_id long, fp long"))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(find_links(nodes.filter("rep is not null"), bits, tile))
-    named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(written(named), "fp")
+    found = components(find_links(nodes.select("fp", F.col("fp").alias("rep")), bits, tile))
+    linked = written(nodes.join(found.withColumnRenamed("node", "fp"), "fp"))
+    ids = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = nodes.join(salted_join(linked, ids, ["component"], F.col("fp")).select("fp", "component_id"), "fp", "left")
+    return prints.join(written(named.select("fp", F.coalesce("component_id", "rep").alias("component_id"))), "fp")
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

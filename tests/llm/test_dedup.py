@@ -157,3 +157,22 @@ def test_components_of_a_chain(spark):
     x, y = local_stars(np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
     want = dict(zip(x.tolist(), y.tolist(), strict=True))
     assert all(want.get(r["node"], r["node"]) == r["component"] for r in got)
+
+
+@pytest.mark.parametrize("tile", [sh.TILE, 1])
+def test_links_run_through_texts_of_null_ids(spark, monkeypatch, tile):
+    """A and B are 6 bits apart, and a text of null id is 3 bits from either."""
+    prints = {"A": 0, "N": 0b111, "B": 0b111111, "M": 0x0FFFFFFF00000000}
+    monkeypatch.setattr(sh, "fingerprint_batches", lambda width: made_prints(prints))
+    docs = spark.createDataFrame([(5, "A"), (None, "N"), (3, "B"), (None, "M")], "doc_id long, text string")
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in sh.near_duplicates(docs, tile=tile).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, 0, 3), (None, 7, 3), (3, 63, 3), (None, 0x0FFFFFFF00000000, None)]))
+
+
+def made_prints(prints):
+    def run(batches):
+        for batch in batches:
+            fp = [prints[t] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+
+    return run
