@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 8 << 20
 #: Salts of a hot join key.
 SALTS = 32
+#: Bits of a map that picks rows by number: a prime of 1 MB.
+PICK = 8388593
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
@@ -46,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join where a key may hold a large part of left's rows: left is dealt by (keys, hash of `by`), right repeated per salt.
 
@@ -101,6 +112,36 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def row_bitmap(rows: DataFrame) -> np.ndarray:
+    """A map of PICK bits with those of rows' _row set; its size does not grow with them."""
+    words = rows.groupBy(F.shiftright(F.pmod(F.col("_row"), F.lit(PICK)).cast("int"), 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_row, {PICK}) & 63 as int))")).alias("bits")).toArrow()  # bounded by PICK
+    out = np.zeros((PICK >> 6) + 1, np.uint64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
+    return out
+
+
+def picked_rows(bitmap: np.ndarray, inside: bool = True, number: str = "_row"):
+    """The rows whose bit is set: those the map was made of and a few others. Or with `inside` false, all that surely weren't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column(number)) % PICK
+            is_set = (bitmap[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            if (chosen := is_set if inside else ~is_set).any():
+                yield batch.filter(pa.array(chosen))
+
+    return run
+
+
+def without_rows(df: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
+    """df without the rows numbered in dropped(_row). Rows that a bitmap of fixed size rules out stay without a shuffle."""
+    bitmap = row_bitmap(dropped)
+    sure = df.mapInArrow(picked_rows(bitmap, inside=False, number=number), df.schema)
+    rest = df.mapInArrow(picked_rows(bitmap, number=number), df.schema)
+    return sure.unionByName(rest.join(dropped.withColumnRenamed("_row", number), number, "left_anti").select(*df.columns))
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """At most `rows` rows, the same for the same data: those whose key hashes lowest."""
     return df.withColumn("_order", F.xxhash64(key)).orderBy("_order").limit(rows).drop("_order")

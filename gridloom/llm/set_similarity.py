@@ -2,14 +2,19 @@
 
 1. A text's set: XXH64 of its shingles of `width` words (words as in simhash.py; fewer words make one shingle). Texts of equal sets
    are one node, named by a hash of the set; texts without words have the empty set and are one node.
-2. Two sets of n and m elements that are 4/5 alike share at least 4/5 of either, so they share one of the lowest floor(n / 5) + 1
-   hashes of the one with one of the lowest floor(m / 5) + 1 of the other. Nodes meet at every such hash (`meetings`): no pair is missed.
-3. Each node is first tried with the lowest node of every meeting, which makes one row a member however large a group is. Groups
-   found so far need no further trial inside; then all pairs of different groups at a meeting are tried.
-4. Pairs to be tried are discarded by sure bounds, then verified on the real sets. Alike sets have at most (n + m) / 9 elements that
-   only one of them has. Two counts are never over that number: the summed differences of tables of how many hashes fall in each of
-   TABLE cells, and the differing bits of parity maps, which have a bit for each of 2n cells or more (a longer map folds to a
-   shorter one). Texts of pairs left are picked by a bitmap of fixed size and need no exchange.
+2. Operator 4 proposes the pairs whose fingerprints (of the set) are within `bits` bits. No Hamming bound is sure to hold for a
+   similarity of 4/5, so the rest is found by step 3.
+3. Under any one order of all shingles, two sets of n and m elements that are 4/5 alike have one of the first floor(n / 5) + 1 of the
+   one among the first floor(m / 5) + 1 of the other. Nodes meet at each of those (`meetings`): no pair is missed. The order is by hash,
+   with the shingles of passages that many documents share last (`heavy_shingles`): texts that have only such a passage in common
+   don't meet. Which shingles are heavy is estimated from a part of the rows; that changes the work, never the result.
+4. Nodes of one size class at a meeting are tried with the lowest of them, one row a member however large a group is. Meetings of
+   heavy shingles are dealt by node too, and the lowest nodes of their parts are tried with each other.
+5. Groups found so far need no trial inside. Where a meeting holds several groups, the nodes outside its largest one are tried with
+   all others of another group; in meetings of heavy shingles the outer ones are repeated in each part.
+6. Pairs to be tried are discarded by sure bounds, then verified on the real sets. Alike sets have at most (n + m) / 9 elements that
+   only one of them has, and the differing bits of their parity maps are never more (a map has a bit for each of n cells or more; a
+   longer map folds to a shorter one). Texts of pairs left are picked by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -18,20 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, slices, written
+from .common import gather, picked_rows, row_bitmap, slices, written
 from .graph import components
-from .simhash import word_buffer
+from .simhash import find_links, word_buffer
 from .xxh import xxh64_many
 
-#: Cells of a node's count table, a byte each.
-TABLE = 64
-#: Bits of the map that picks the texts to verify, by row number: a prime.
-PICK = 8388593
 #: The name of the empty set.
 EMPTY = 0
+#: Text bytes worked on at once; shingle arrays take some twenty times as much.
+PART = 2 << 20
+#: Parts that a heavy shingle's meeting is dealt to.
+PARTS = 16
+#: Share of the rows that heavy shingles are estimated from, rows of it that must have one, and the most there can be (8 MB).
+SHARE, SEEN, HEAVY = 1 / 64, 3, 1 << 20
+#: A size class holds sizes of which the largest is at most 5/4 of the smallest.
+CLASS = float(np.log(1.25))
 
 
 def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +67,23 @@ def set_names(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, out, EMPTY)
 
 
-def lists(sizes: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values.view(np.int64)))
+def set_fingerprints(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is set if over half of the hashes have it."""
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes > 0)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        sums = np.empty((len(full), 64), np.int64)
+        for byte in range(8):  # a byte of every hash at a time, to bound memory
+            part = (hashes >> np.uint64(8 * byte)).astype(np.uint8)
+            sums[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(np.unpackbits(part[:, None], axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * sums > sizes[full][:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+    return out
 
 
 def parity_maps(sizes: np.ndarray, hashes: np.ndarray) -> list[bytes]:
-    """Of each set the parities of the cells its hashes fall in: the least power of two of cells from 2n on, 64 at least."""
-    width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+    """Of each set the parities of the cells its hashes fall in: the least power of two of cells from n on, 64 at least."""
+    width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     begin = np.cumsum(width) - width
     at = np.repeat(begin, sizes) + (hashes.view(np.int64) >> np.int64(8) & np.repeat(width - 1, sizes))
     bits = np.packbits(np.bincount(at, minlength=int(width.sum())).astype(np.uint8) & 1, bitorder="little").tobytes()
@@ -75,34 +95,70 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, size // 8), axis=0)
 
 
+def size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / CLASS + 1e-9).astype(np.int32)
+
+
 def describe(width: int):
-    """Rows (row, node, n, cells, bits, low): a text's set by name, size, count table, parity map and lowest hashes."""
+    """Rows (_row, node, n, fp, bits): a text's set by name, size, fingerprint and parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 sizes, h = shingle_sets(part.column("text"), width)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                cells = np.bincount(row * TABLE + (h & np.uint64(TABLE - 1)).astype(np.int64), minlength=len(sizes) * TABLE)
-                cells = np.minimum(cells, 255).astype(np.uint8).tobytes()
-                few = np.where(sizes > 0, sizes // 5 + 1, 0)
-                low = h[gather(np.cumsum(sizes) - sizes, few)]
-                columns = [part.column("_row"), pa.array(set_names(sizes, h)), pa.array(sizes), pa.array([cells[i : i + TABLE] for i in range(0, len(cells), TABLE)], pa.binary()), pa.array(parity_maps(sizes, h), pa.binary()), lists(few, low)]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "node", "n", "cells", "bits", "low"])
+                columns = [part.column("_row"), pa.array(set_names(sizes, h)), pa.array(sizes), pa.array(set_fingerprints(sizes, h).view(np.int64)), pa.array(parity_maps(sizes, h), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "node", "n", "fp", "bits"])
 
     return run
 
 
-def whole_sets(width: int, picked: np.ndarray):
-    """Rows (node, hashes) of the picked rows and of a few others whose numbers fall on the same bits."""
+def new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, sizes, hashes) of a task's texts, each set but once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for part in slices(batch, "text", PART):
+            sizes, h = shingle_sets(part.column("text"), width)
+            node = set_names(sizes, h)
+            fresh = np.zeros(len(node), bool)
+            for i, x in enumerate(node.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            yield node[fresh], sizes[fresh], h[np.repeat(fresh, sizes)]
+
+
+def all_shingles(width: int):
+    """Rows (h, node): every shingle of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.asarray(batch.column("_row")) % PICK
-            batch = batch.filter(pa.array((picked[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
-            for part in slices(batch, "text"):
-                sizes, h = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("_row"), pa.array(set_names(sizes, h)), lists(sizes, h)], ["_row", "node", "hashes"])
+        for node, sizes, h in new_sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(node, sizes))], ["h", "node"])
+
+    return run
+
+
+def heavy_shingles(texts: DataFrame, width: int, share: float = SHARE, seen: int = SEEN, most: int = HEAVY) -> np.ndarray:
+    """Hashes, ascending, of shingles that many sets have; any choice of them gives the same groups."""
+    rows = texts.sample(share, seed=7).select("text").mapInArrow(all_shingles(width), "h long, node long").distinct()
+    counts = rows.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") >= seen)
+    return np.sort(np.asarray(counts.orderBy(F.desc("k"), "h").limit(most).select("h").toArrow()["h"]).astype(np.int64).view(np.uint64))
+
+
+def first_shingles(width: int, heavy: np.ndarray):
+    """Rows (h, part, node, n): the first floor(n / 5) + 1 shingles of each set, heavy ones last. part is -1 for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, sizes, h in new_sets(batches, width):
+            late = np.zeros(len(h), bool)
+            if len(heavy) and len(h):
+                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                late = heavy[at] == h
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.argsort(2 * row + late, kind="stable")
+            pick = order[gather(np.cumsum(sizes) - sizes, np.where(sizes > 0, sizes // 5 + 1, 0))]
+            own = node[row[pick]]
+            part = np.where(late[pick], own % PARTS, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(part), pa.array(own), pa.array(sizes[row[pick]].astype(np.int32))], ["h", "part", "node", "n"])
 
     return run
 
@@ -126,26 +182,78 @@ def whole_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, node, least) of the hashes at which two nodes or more meet; least is the lowest of them. Rows come sorted by h."""
-    for rows in whole_meetings(batches):
-        h, node = np.asarray(rows["h"]), np.asarray(rows["node"])
-        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(begin, len(h)))
-        least = np.repeat(np.minimum.reduceat(node, begin), size)
-        some = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (h, node, least)], ["h", "node", "least"])
+def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins, sizes) of the runs of equal rows."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begin = np.flatnonzero(new)
+    return begin, np.diff(np.append(begin, len(columns[0])))
 
 
-def may_be_alike(n, m, cells, other):
-    """The sure bounds, by rows."""
-    apart = np.abs(cells.astype(np.int16) - other).sum(-1, dtype=np.int64)
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * apart <= n + m)
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, part, size_class, node, n, least) of the parts of meetings at which two nodes or more meet, and of all that are parts of
+    a heavy shingle's; least is the lowest node of the size class there. Rows come sorted by h."""
+    for rows in whole_meetings(batches):
+        h, part, node, n = (np.asarray(rows[c]) for c in ("h", "part", "node", "n"))
+        kind = size_class(n)
+        order = np.lexsort((node, kind, part, h))
+        h, part, node, n, kind = (x[order] for x in (h, part, node, n, kind))
+        one = runs_of(h, part, node)[0]
+        h, part, node, n, kind = (x[one] for x in (h, part, node, n, kind))
+        begin, size = runs_of(h, part, kind)
+        least = np.repeat(node[begin], size)
+        size = runs_of(h, part)[1]
+        some = np.repeat(size > 1, size) | (part >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (h, part, kind, node, n, least)], ["h", "part", "size_class", "node", "n", "least"])
+
+
+class Maps:
+    """Parity maps of many rows, those of one length as a matrix."""
+
+    def __init__(self, bits: list[bytes]):
+        self.length = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.place = np.zeros(len(bits), np.int64)
+        self.of: dict[tuple[int, int], np.ndarray] = {}
+        for size in np.unique(self.length).tolist():
+            rows = np.flatnonzero(self.length == size)
+            self.place[rows] = np.arange(len(rows))
+            self.of[size, size] = np.frombuffer(b"".join(bits[i] for i in rows.tolist()), np.uint64).reshape(len(rows), size // 8)
+
+    def at(self, size: int, to: int) -> np.ndarray:
+        """All maps of `size` bytes, folded to `to` bytes."""
+        if (size, to) not in self.of:
+            whole = self.of[size, size]
+            self.of[size, to] = np.bitwise_xor.reduce(whole.reshape(len(whole), size // to, to // 8), axis=1)
+        return self.of[size, to]
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Differing bits of row i and each of the others."""
+        out = np.zeros(len(others), np.int64)
+        own = int(self.length[i])
+        for size in np.unique(self.length[others]).tolist():
+            some = np.flatnonzero(self.length[others] == size)
+            to = min(own, size)
+            x = self.at(own, to)[self.place[i]]
+            out[some] = np.bitwise_count(self.at(size, to)[self.place[others[some]]] ^ x).sum(1)
+        return out
 
 
-def table_of(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TABLE)
+def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a over b, of different groups at a meeting, one of them outside the largest group there (`outer`), that the bounds
+    don't discard; each once a table. Rows come sorted by h and part."""
+    for rows in whole_meetings(batches):
+        h, part, node, group, n, outer = (np.asarray(rows[c]) for c in ("h", "part", "node", "component", "n", "outer"))
+        maps = Maps(rows["bits"].to_pylist())
+        found = set()
+        for begin, size in zip(*(x.tolist() for x in runs_of(h, part)), strict=True):
+            here = np.arange(begin, begin + size)
+            for i in here[outer[here]].tolist():
+                at = here[(group[here] != group[i]) & ~(outer[here] & (here < i)) & (5 * np.minimum(n[here], n[i]) >= 4 * np.maximum(n[here], n[i]))]
+                if len(at):
+                    at = at[9 * maps.apart(i, at) <= n[at] + n[i]]
+                    found.update((max(int(node[i]), x), min(int(node[i]), x)) for x in node[at].tolist())
+        a, b = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,21 +269,26 @@ def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(c))[good]) for c in ("a", "b")], ["a", "b"])
 
 
-def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a over b, of different groups at a meeting that the bounds don't discard, each once a task's table."""
-    for rows in whole_meetings(batches):
-        h, node, group, n = (np.asarray(rows[c]) for c in ("h", "node", "component", "n"))
-        cells = table_of(rows["cells"])
-        end = np.searchsorted(h, h, side="right")
-        found = set()
-        for i in range(len(h)):
-            rest = slice(i + 1, int(end[i]))
-            at = i + 1 + np.flatnonzero((group[rest] != group[i]) & (5 * np.minimum(n[rest], n[i]) >= 4 * np.maximum(n[rest], n[i])))
-            if len(at):
-                at = at[may_be_alike(n[at], n[i], cells[at], cells[i])]
-                found.update((max(int(node[i]), x), min(int(node[i]), x)) for x in node[at].tolist())
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def alike(width: int):
+    """The pairs (a, b) of rows (a, b, x, y) whose texts' sets are 4/5 alike; rows of one b mostly stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "x", PART):
+                a, b = np.asarray(part.column("a")), np.asarray(part.column("b"))
+                _, first, which = np.unique(b, return_index=True, return_inverse=True)
+                n, own = shingle_sets(part.column("x"), width)
+                m, theirs = shingle_sets(pc.take(part.column("y"), pa.array(first)).cast(pa.large_string()), width)
+                rows = np.arange(len(a))
+                other = theirs[gather((np.cumsum(m) - m)[which], m[which])]
+                h, row = np.concatenate([own, other]), np.concatenate([np.repeat(rows, n), np.repeat(rows, m[which])])
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                common = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=len(a))
+                good = 9 * common >= 4 * (n + m[which])
+                yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -183,32 +296,39 @@ def verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, width: int) -
     a, b = (nodes.select(F.col("node").alias(k), F.col("n").alias(size), F.col("bits").alias(bits)) for k, size, bits in (("a", "n", "x"), ("b", "m", "y")))
     pairs = written(pairs.join(a, "a").join(b, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(plausible, "a long, b long"))
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_row"), "node"))
-    at = F.pmod(F.col("_row"), F.lit(PICK)).cast("int")
-    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_row, {PICK}) & 63 as int))")).alias("bits")).toArrow()  # bounded by PICK
-    picked = np.zeros((PICK >> 6) + 1, np.uint64)
-    picked[np.asarray(words["word"])] = np.asarray(words["bits"]).view(np.uint64)
-    sets = texts.select("_row", "text").mapInArrow(whole_sets(width, picked), "_row long, node long, hashes array<long>")
-    sets = written(sets.join(wanted.select("_row"), "_row", "left_semi").select("node", "hashes"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.filter(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    found = texts.select("_row", "text").mapInArrow(picked_rows(row_bitmap(wanted)), "_row long, text string")
+    found = written(found.join(wanted, "_row").select("node", "text"))
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(found.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(alike(width), "a long, b long")
 
 
-def near_copies(texts: DataFrame, width: int = 5) -> DataFrame:
+def near_copies(texts: DataFrame, width: int = 5, bits: int = 3, share: float = SHARE, seen: int = SEEN) -> DataFrame:
     """_row, component: the group of every row of texts(_row, text). Groups are joined by all pairs of sets that are 4/5 alike.
-    texts is read several times and must have the same rows and row numbers each time."""
-    described = written(texts.mapInArrow(describe(width), "_row long, node long, n long, cells binary, bits binary, low array<long>"))
-    nodes = written(described.groupBy("node").agg(*(F.min_by(c, "_row").alias(c) for c in ("_row", "n", "cells", "bits", "low"))))
-    low = nodes.select("node", F.explode("low").alias("h"))
-    met = written(low.repartition("h").sortWithinPartitions("h").mapInArrow(meetings, "h long, node long, least long"))
-
-    tried = met.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    texts is read several times and must have the same rows and row numbers each time. Null and empty texts are one group; an empty
+    table has no rows."""
+    described = written(texts.select("_row", "text").mapInArrow(describe(width), "_row long, node long, n long, fp long, bits binary"))
+    nodes = written(described.groupBy("node").agg(F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("n", "fp", "bits"))))
+    first = first_shingles(width, heavy_shingles(texts, width, share, seen))
+    met = texts.select("text").mapInArrow(first, "h long, part int, node long, n int").repartition("h", "part").sortWithinPartitions("h", "part")
+    met = written(met.mapInArrow(meetings, "h long, part int, size_class int, node long, n int, least long"))
+
+    same = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    near = nodes.select("fp", F.col("node").alias("a")).join(same, "fp").select("a", F.col("rep").alias("b"))
+    heads = met.filter("part >= 0").select("h", "size_class", "least").distinct()
+    tops = heads.groupBy("h", "size_class").agg(F.min("least").alias("top"))
+    tried = met.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(near).unionByName(find_links(same, bits))
+    tried = tried.unionByName(heads.join(tops, ["h", "size_class"]).select(F.col("least").alias("a"), F.col("top").alias("b")))
+    tried = tried.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = written(verified(tried, texts, nodes, width))
     groups = written(components(links))
 
-    marked = written(met.join(groups, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component")))
-    open_ = marked.groupBy("h").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("h")
-    rest = marked.join(open_, "h").join(nodes.select("node", "n", "cells"), "node")
-    across = written(rest.repartition("h").sortWithinPartitions("h").mapInArrow(pairs_across, "a long, b long").distinct())
+    marked = written(met.drop("size_class", "least").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    counts = marked.groupBy("h", "component").agg(F.count("*").alias("k"))
+    open_ = counts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    rest = marked.join(open_, "h").withColumn("outer", F.col("component") != F.col("main")).drop("main")
+    everywhere = F.when(F.col("outer") & (F.col("part") >= 0), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array("part"))
+    rest = rest.withColumn("part", F.explode(everywhere)).distinct().join(nodes.select("node", "bits"), "node")
+    across = written(rest.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(pairs_across, "a long, b long").distinct())
     if not across.isEmpty():
         links = written(links.unionByName(verified(across, texts, nodes, width)))
         groups = written(components(links))

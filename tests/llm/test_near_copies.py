@@ -79,3 +79,21 @@ def test_maps_never_count_more_than_differs():
 
 def test_no_texts(spark):
     assert ss.near_copies(spark.createDataFrame([], "_row long, text string")).count() == 0
+
+
+def test_heavy_shingles_change_no_group(spark):
+    texts = some_texts()
+    passage = [f"p{k}" for k in range(80)]
+    texts += [" ".join([f"u{i}x{k}" for k in range(10 + i)] + passage) for i in range(40)]  # alike where own words are few
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(3)
+    group = brute_groups(texts)
+    for share, seen in ((1.0, 2), (1.0, 30), (0.5, 3)):
+        got = {r["_row"]: r["component"] for r in ss.near_copies(rows, share=share, seen=seen).collect()}
+        assert len(set(zip(group, (got[i] for i in range(len(texts)))))) == len(set(group)) == len(set(got.values()))
+
+
+def test_stage_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8), (3, "d", 9, 1)], "doc_id long, text string, _row long, component long")
+    got = cp.near_dedup_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c", 5, 6), (3, "d", 9, 1)]
