@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import written
+from gridloom.llm.common import fresh, salted_join, without_rows, written
 from gridloom.llm.line_dedup import drop_common_lines
 from gridloom.llm.packing import best_fit_pack, public_tokenizer
 from gridloom.llm.pii import pseudonymise_documents
 from gridloom.llm.quality import classify_quality
 from gridloom.llm.set_similarity import near_copies
 
-
 def with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     """The columns of documents with a new text and its length."""
     new = {"text": text, "n_chars": F.length(text).cast("long")}
@@ -32,10 +31,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingle sets, similarity 0.8 or more) one row stays: that of the smallest id, ids that
     are null last, and of rows with that id the first."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = near_copies(numbered.select("_row", "text")).join(numbered.select("_row", "doc_id"), "_row")
-    stay = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    row = fresh("_row", docs)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = numbered.select(F.col(row).alias("_row"), "doc_id")
+    found = near_copies(numbered.select(F.col(row).alias("_row"), "text")).join(ids, "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_first")
+    dropped = written(salted_join(found, found.groupBy("component").agg(first), ["component"], F.col("_row")).filter("_row <> _first").select("_row"))
+    return without_rows(numbered, dropped, row).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
