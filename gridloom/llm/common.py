@@ -21,32 +21,43 @@ PICK = 8388593
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where it is unset (tests) take an own one."""
+    """Use the shared folder named in spark.checkpoint.dir; only where it is unset and Spark runs in one process take an own one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if where:
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(where)
     elif not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; files go when Spark no longer refers to them."""
+    """Write df to the shared checkpoint folder and go on from there. With spark.cleaner.referenceTracking.cleanCheckpoints the files go
+    when Spark no longer refers to them."""
     ready_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write df as compressed Parquet under the shared checkpoint folder and read it back: for rows with texts. Gone when the
-    application ends."""
+def written(df: DataFrame, into: SparkSession | None = None) -> DataFrame:
+    """Write df as compressed Parquet under the shared checkpoint folder and read it back (in the session `into`): for rows with
+    texts. Gone when the application ends, or by `discard`."""
     spark = df.sparkSession
     ready_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return (into or spark).read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that `written` has made."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
@@ -142,6 +153,30 @@ def without_rows(df: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
     return sure.unionByName(rest.join(dropped.withColumnRenamed("_row", number), number, "left_anti").select(*df.columns))
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """At most `rows` rows, the same for the same data: those whose key hashes lowest."""
-    return df.withColumn("_order", F.xxhash64(key)).orderBy("_order").limit(rows).drop("_order")
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, size) of docs: a hash of each whole row, and the characters of its text."""
+    return docs.select("doc_id", F.xxhash64(*docs.columns).alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+
+
+def bounded_sample(keys: DataFrame, most: int, characters: int, seed: str) -> list[tuple[int, int]]:
+    """(doc_id, h) of at most `most` different rows of keys(doc_id, h, size) and at most `characters` in all, the same for the same
+    data: in order of another hash, without those that no longer fit. Only rows under a hash bound are sorted, half more than asked."""
+    order = F.xxhash64(F.lit(seed), "doc_id", "h")
+    rows = keys.select("doc_id", "h", "size", order.alias("o"))
+    share = 1.5 * most / max(1, rows.agg(F.approx_count_distinct("o")).first()[0])
+    if share < 1:
+        rows = rows.filter(F.col("o") < int(-(2.0**63) + share * 2.0**64))
+    out, left = [], characters
+    for r in rows.distinct().orderBy("o", "doc_id", "h").limit(most).collect():
+        if r["size"] <= left:
+            out.append((r["doc_id"], r["h"]))
+            left -= r["size"]
+    return out
+
+
+def sample_texts(docs: DataFrame, chosen: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """The columns of docs and kind of the rows chosen for each kind, rows that repeat once."""
+    picked = [(doc_id, h, kind) for kind, rows in chosen.items() for doc_id, h in rows]
+    sample = docs.sparkSession.createDataFrame(picked, "doc_id long, h long, kind int")  # bounded by what was asked for
+    rows = docs.withColumn("h", F.xxhash64(*docs.columns)).join(F.broadcast(sample), ["doc_id", "h"])
+    return rows.dropDuplicates(["doc_id", "h", "kind"]).drop("h")

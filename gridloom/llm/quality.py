@@ -6,7 +6,8 @@ documents of which it is surest (by its calibrated probability, as many of each
 to the other view, which is fitted again. At the end both views' calibrated log odds are combined by a last logistic fit, and all
 documents are scored.
 
-Samples are bounded by parameters: at most `labelled` labelled and `pool` unlabelled training documents. Rows whose
+Samples are bounded by parameters: at most `labelled` labelled training documents, by the classes' shares, and a pool of at most
+`pool` unlabelled ones, as co-training has it, each of at most `characters` in all; rows that repeat in all columns count once. Rows whose
 crc32(doc_id as text) leaves 1 when divided by 3 are not learned from. Scoring covers whole texts of all documents.
 
 Defined results: null and empty texts have an empty content view; null metadata is a value of its own; without labels of both
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from .common import bounded_sample, held_out, slices, text_words
+from .common import bounded_sample, fresh, held_out, row_keys, sample_texts, slices, text_words
 
 UPPER, LOWER, DIGITS, REPEAT = re.compile("[A-Z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1{2,}")
 STATS = 7
@@ -163,14 +164,23 @@ def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: i
     return *views, fit_logistic(both, label[check], 1.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, rounds: int, grow: int, sure: float, shapes: int) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, characters: int, rounds: int, grow: int, sure: float, shapes: int) -> Model | None:
     known = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = bounded_sample(known, F.col("doc_id"), labelled)
     plain = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "source", "lang", "n_chars")
-    others = bounded_sample(plain.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti"), F.col("doc_id"), pool).withColumn("quality", F.lit(-1))
-    sample = chosen.unionByName(others)
+    keys = row_keys(plain)
+    marked = keys.join(known, "doc_id")
+    good = marked.agg(F.avg((F.col("quality") > 0).cast("double"))).first()[0]
+    if good is None or not 0 < good < 1:
+        return None
+    share = round(labelled * good)
+    chosen = {
+        1: bounded_sample(marked.filter("quality > 0").drop("quality"), max(1, share), characters, "good"),
+        0: bounded_sample(marked.filter("quality <= 0").drop("quality"), max(1, labelled - share), characters, "bad"),
+        -1: bounded_sample(keys.join(labels.select("doc_id"), "doc_id", "left_anti"), pool, characters, "pool"),
+    }
+    rows = sample_texts(plain, chosen).withColumnRenamed("kind", "quality")
     kind = "doc_id long, quality int, shapes array<string>, shares array<double>, stats array<double>, meta array<string>"
-    rows = plain.join(F.broadcast(sample), "doc_id").mapInArrow(sample_rows, kind).toArrow().sort_by("doc_id")  # bounded by the sample sizes
+    rows = rows.mapInArrow(sample_rows, kind).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])  # bounded by the sample sizes
     label = np.asarray(rows["quality"]).astype(float)
     if len(np.unique(label[label >= 0])) < 2:
         return None
@@ -212,14 +222,13 @@ def score_batches(model: Model, threshold: float, returned: tuple[str, ...], add
     return run
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, rounds: int = 3, grow: int = 400, sure: float = 0.95, shapes: int = 200, threshold: float = 0.5, whole: bool = False) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, labelled: int = 4000, pool: int = 4000, characters: int = 32 << 20, rounds: int = 3, grow: int = 400, sure: float = 0.95, shapes: int = 200, threshold: float = 0.5, whole: bool = False) -> DataFrame:
     """doc_id, held_out, score (probability of good quality), kept: one row per document; with `whole`, docs' own columns,
-    _score and _kept."""
-    model = train(docs, labels, labelled, pool, rounds, grow, sure, shapes)
+    _score and _kept (with more underscores where docs has such columns, see `fresh`). `characters` bounds each sample's texts."""
+    model = train(docs, labels, labelled, pool, characters, rounds, grow, sure, shapes)
     rows = docs if whole else docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "source", "lang", "n_chars")
     returned = tuple(docs.columns) if whole else ("doc_id", "held_out")
-    score, kept = ("_score", "_kept") if whole else ("score", "kept")
-    returned = tuple(c for c in returned if c not in (score, kept))
+    score, kept = (fresh("_score", docs), fresh("_kept", docs)) if whole else ("score", "kept")
     if model is None:
         return rows.select(*returned, F.lit(1.0).alias(score), F.lit(True).alias(kept))
     schema = StructType([*rows.select(*returned).schema.fields]).add(score, DoubleType()).add(kept, BooleanType())

@@ -1,21 +1,26 @@
 """Operator 3, toxicity by non-negative positive-unlabelled learning.
 
-Trained from confirmed toxic documents (positives) and plain documents whose labels are not looked at (unlabelled). The risk of a
-linear scorer g over words and word beginnings is  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss l and the class prior
-pi, the share of toxic ones among the labelled training rows; where the second term would be negative its gradient is turned
-round. A score is a fixed monotone map of g, set on labelled training rows so that 0.7 is the cut of the best F1.
+Trained from confirmed toxic documents (positives) and all training documents, whose labels are not looked at (unlabelled). The risk
+of a linear scorer g over words and word beginnings is  pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)])  with the logistic loss
+l and the class prior pi, the share of toxic ones among the labelled training rows, held between 0.01 and 0.5; where the second term
+would be negative its gradient is turned round.
 
-Samples are bounded by parameters: `positives` toxic and `unlabelled` plain documents, `checked` labelled ones for the cut. All
-scoring covers whole texts of all documents.
+1. Confirmed toxic documents, `positives` at most, come to the driver as word lists. Their features are the candidates.
+2. All unlabelled documents are counted for the candidates, and the features far over their share there are chosen.
+3. All unlabelled documents are dealt by a hash to groups of about `GROUP`. Each group is fitted against the positives where it lies,
+   and the weights are averaged (parameter mixing), so that no document is left out and nothing grows on the driver.
+4. A score is a fixed monotone map of g, set on labelled training rows (`checked` at most) so that 0.7 is the cut of the best F1.
+
+Samples of labelled rows are bounded in rows and in characters; rows that repeat both id and text count once there. The penalty is
+chosen on `trial` unlabelled rows. All scoring covers whole texts of all documents.
 
 Defined results: null and empty texts score as the intercept alone; without toxic training rows every score is 0; rows that
-repeat a doc_id are scored each; an empty table gives no rows; other columns are ignored.
+repeat a doc_id are scored each; a null doc_id is held out and scored; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, gather, held_out, slices, text_words
+from .common import bounded_sample, gather, held_out, row_keys, sample_texts, slices, text_words
 
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
 #: Penalties to choose from on training rows; the first where they are too few.
 PENALTIES = (1e-3, 1e-4, 1e-2)
+#: Unlabelled documents of one fit, and the most where many rows are alike.
+GROUP, MOST_GROUP = 4096, 8192
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -112,45 +119,34 @@ class Sample:
         self.row = np.repeat(np.arange(len(self.kind)), np.asarray(lists.value_lengths()).astype(np.int64))
 
     def first_of_families(self) -> np.ndarray:
-        """Whether a document is no copy or near copy of an earlier one of its kind: the sets of their words of over 3 letters have a
-        similarity (Jaccard) of 0.8 or more. A family of copies would otherwise make its every word look like evidence."""
+        """Whether a document is no copy or near copy of an earlier positive: the sets of their words of over 3 letters have a similarity
+        (Jaccard) of 0.8 or more. A family of copies would otherwise make its every word look like evidence."""
         out = np.ones(len(self.kind), bool)
         long_ = np.array([len(w) > 3 for w in self.words], bool)
-        for kind in np.unique(self.kind).tolist():
-            use = (self.kind[self.row] == kind) & long_[self.number]
-            row, number = self.row[use], self.number[use]
-            size = np.bincount(row, minlength=len(self.kind))
-            order = np.lexsort((row, number))
-            holders = row[order]  # of each word, in order of documents
-            start = np.searchsorted(number[order], np.arange(len(self.words)))
-            seen = np.zeros(len(self.words), np.int64)
-            begin = np.searchsorted(row, np.arange(len(self.kind) + 1))
-            for i in np.flatnonzero(size).tolist():
-                own = number[begin[i] : begin[i + 1]]
-                common = np.bincount(holders[gather(start[own], seen[own])], minlength=1)
-                out[i] = not (9 * common >= 4 * (size[: len(common)] + size[i])).any() if common.any() else True
-                seen[own] += 1
+        use = (self.kind[self.row] == 1) & long_[self.number]
+        row, number = self.row[use], self.number[use]
+        size = np.bincount(row, minlength=len(self.kind))
+        order = np.lexsort((row, number))
+        holders = row[order]  # of each word, in order of documents
+        start = np.searchsorted(number[order], np.arange(len(self.words)))
+        seen = np.zeros(len(self.words), np.int64)
+        begin = np.searchsorted(row, np.arange(len(self.kind) + 1))
+        for i in np.flatnonzero(size).tolist():
+            own = number[begin[i] : begin[i + 1]]
+            common = np.bincount(holders[gather(start[own], seen[own])], minlength=1)
+            out[i] = not (9 * common >= 4 * (size[: len(common)] + size[i])).any() if common.any() else True
+            seen[own] += 1
         return out
 
-    def choose(self, most: int, own: np.ndarray, deviations: float = 4.0, lift: float = 2.0) -> dict[str, int]:
-        """Features whose share of the positives (kind 1) is over their share of the unlabelled (kind 2) by `deviations` standard
-        deviations and `lift` times as large, best first. Only documents marked in `own` are counted."""
-        here = own[self.row] & (self.kind[self.row] == 1)
+    def candidates(self, own: np.ndarray, least: int = 3) -> tuple[list[str], np.ndarray]:
+        """(features, counts) of those that `least` documents marked in `own` have."""
+        here = own[self.row]
         spelled = sorted({f for i in np.unique(self.number[here]).tolist() for f in word_features(self.words[i])})
         spelled += [f + "*" for f in spelled if f.endswith("*")]
         index = {f: i for i, f in enumerate(spelled)}
-        count, size = np.zeros((2, len(spelled))), np.zeros(2)
-        for at, kind in enumerate((1, 2)):
-            use = own & (self.kind == kind)
-            size[at] = use.sum()
-            some = use[self.row]
-            count[at] = np.bincount(feature_rows(self.row[some], self.number[some], self.words, index)[1], minlength=len(spelled))
-        share = count / np.maximum(size, 1)[:, None]
-        pooled = (count.sum(0) + 1) / (size.sum() + 2)
-        z = (share[0] - share[1]) / np.sqrt(pooled * (1 - pooled) * (1 / np.maximum(size, 1)).sum())
-        good = np.flatnonzero((count[0] >= 3) & (z >= deviations) & (share[0] >= lift * share[1]))
-        best = good[np.lexsort((good, -z[good]))][:most]
-        return {spelled[i]: k for k, i in enumerate(sorted(best.tolist()))}
+        count = np.bincount(feature_rows(self.row[here], self.number[here], self.words, index)[1], minlength=len(spelled))
+        some = np.flatnonzero(count >= least)
+        return [spelled[i] for i in some.tolist()], count[some]
 
     def rows_of(self, kind: int, index: dict[str, int], only: np.ndarray | None = None) -> SparseRows:
         mine = self.kind == kind if only is None else (self.kind == kind) & only
@@ -159,15 +155,16 @@ class Sample:
         row, col = feature_rows(nth[self.row[some]], self.number[some], self.words, index)
         return SparseRows(row, col, int(mine.sum()), len(index))
 
-    def best_penalty(self, most: int, own: np.ndarray, prior: float) -> float:
-        """Of PENALTIES the one whose best F1 on training rows left out of the fit, one half of the positives at a time, is largest."""
+    def best_penalty(self, unlabelled: dict[str, int], plain: int, most: int, own: np.ndarray, prior: float) -> float:
+        """Of PENALTIES the one whose best F1 on training rows left out of the fit, one half of the positives at a time, is largest.
+        unlabelled: how many of `plain` unlabelled documents have each candidate."""
         half = np.cumsum(self.kind == 1) % 2 == 0
-        if (self.kind == 1).sum() < 10 or not (self.kind == 0).any():
+        if (self.kind == 1).sum() < 10 or not (self.kind == 0).any() or not (self.kind == 2).any():
             return PENALTIES[0]
         total = dict.fromkeys(PENALTIES, 0.0)
         for left_out in (half, ~half):
             learn = ~left_out | (self.kind != 1)
-            index = self.choose(most, own & learn)
+            index = choose(*self.candidates(own & learn), int((own & learn).sum()), unlabelled, plain, most)
             p, u, n, test = self.rows_of(1, index, learn), self.rows_of(2, index), self.rows_of(0, index), self.rows_of(1, index, left_out)
             for penalty in PENALTIES:
                 w, b = fit_nnpu(p, u, prior, penalty=penalty)
@@ -178,6 +175,18 @@ class Sample:
         return max(PENALTIES, key=lambda x: total[x])
 
 
+def choose(spelled: list[str], count: np.ndarray, positives: int, unlabelled: dict[str, int], plain: int, most: int, deviations: float = 4.0, lift: float = 2.0) -> dict[str, int]:
+    """Features whose share of the positives is over their share of the unlabelled documents by `deviations` standard deviations and
+    `lift` times as large, the best `most` of them."""
+    other = np.array([unlabelled.get(f, 0) for f in spelled], float)
+    share, rest = count / max(positives, 1), other / max(plain, 1)
+    pooled = (count + other + 1) / (positives + plain + 2)
+    z = (share - rest) / np.sqrt(pooled * (1 - pooled) * (1 / max(positives, 1) + 1 / max(plain, 1)))
+    good = np.flatnonzero((count >= 3) & (z >= deviations) & (share >= lift * rest))
+    best = good[np.lexsort((good, -z[good]))][:most]
+    return {spelled[i]: k for k, i in enumerate(sorted(best.tolist()))}
+
+
 def fit_nnpu(positive: SparseRows, unlabelled: SparseRows, prior: float, steps: int = 300, rate: float = 0.1, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on the non-negative risk."""
     w, b = np.zeros(positive.width), float(np.log(prior / (1 - prior)))
@@ -211,6 +220,73 @@ def best_cut(score: np.ndarray, label: np.ndarray) -> float:
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at]) - 1.0
 
 
+def count_features(spelled: list[str]):
+    """Rows (f, k): how many of a task's texts have each feature; f -1 counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {f: i for i, f in enumerate(spelled)}
+        count, texts = np.zeros(len(spelled), np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, number, words = document_words(part.column("text"))
+                count += np.bincount(feature_rows(row, number, words, index)[1], minlength=len(spelled))
+                texts += part.num_rows
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(count[some], texts))], ["f", "k"])
+
+    return run
+
+
+def feature_lists(index: dict[str, int]):
+    """Rows (group, features): the chosen features of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                row, col = feature_rows(*document_words(part.column("text")), index)
+                order = np.lexsort((col, row))
+                cuts = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(col[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("g"), lists], ["g", "features"])
+
+    return run
+
+
+def fit_groups(positive: SparseRows, prior: float, penalty: float):
+    """Rows (f, weight, n): the weights of a task's fits, each times its documents, summed; f -1 is the intercept. Rows come sorted by
+    group; a group of over MOST_GROUP documents makes several fits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, documents = np.zeros(positive.width + 1), 0
+
+        def fit(rows: pa.Table) -> None:
+            nonlocal documents
+            lists = rows["features"].combine_chunks()
+            row = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths()).astype(np.int64))
+            w, b = fit_nnpu(positive, SparseRows(row, np.asarray(lists.flatten()).astype(np.int64), len(rows), positive.width), prior, penalty=penalty)
+            total[:-1] += w * len(rows)
+            total[-1] += b * len(rows)
+            documents += len(rows)
+
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            while len(rows):
+                group = np.asarray(rows["g"])
+                size = int(np.searchsorted(group, group[0], side="right"))
+                if size == len(rows) and size <= MOST_GROUP:  # the group may go on
+                    break
+                fit(rows.slice(0, min(size, MOST_GROUP)))
+                rows = rows.slice(min(size, MOST_GROUP))
+            held = rows
+        if held is not None and len(held):
+            fit(held)
+        if documents:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(positive.width), -1).astype(np.int32)), pa.array(total), pa.array(np.full(len(total), float(documents)))], ["f", "weight", "n"])
+
+    return run
+
+
 def score_batches(weights: dict[str, float], intercept: float, cut: float):
     index = {f: i for i, f in enumerate(weights)}
     value = np.array([*weights.values(), 0.0])
@@ -227,25 +303,39 @@ def score_batches(weights: dict[str, float], intercept: float, cut: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, checked: int, most_words: int) -> tuple[dict[str, float], float, float] | None:
-    """(word weights, intercept, cut) or None without toxic training rows. Only bounded samples of word lists come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, positives: int, checked: int, trial: int, characters: int, most_words: int) -> tuple[dict[str, float], float, float] | None:
+    """(word weights, intercept, cut) or None without toxic training rows. Only bounded samples of word lists, and counts and weights of
+    bounded lists of features, come to the driver."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rates = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     if not rates["t"]:
         return None
     prior = min(0.5, max(0.01, rates["t"] / rates["n"]))
     plain = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    sample = bounded_sample(known.filter("toxic = 1"), F.col("doc_id"), positives).withColumn("kind", F.lit(1)).select("doc_id", "kind")
-    sample = sample.unionByName(bounded_sample(known.filter("toxic <> 1"), F.col("doc_id"), checked).select("doc_id", F.lit(0).alias("kind")))
-    sample = sample.unionByName(bounded_sample(plain.select("doc_id"), F.xxhash64(F.lit("u"), F.col("doc_id")), unlabelled).select("doc_id", F.lit(2).alias("kind")))
-    rows = plain.join(F.broadcast(sample), "doc_id").mapInArrow(word_lists, "doc_id long, kind int, words array<string>").toArrow()  # bounded by the sample sizes
+    keys = row_keys(plain)
+    labelled = keys.join(known, "doc_id")
+    chosen = {
+        1: bounded_sample(labelled.filter("toxic = 1").drop("toxic"), positives, characters, "p"),
+        0: bounded_sample(labelled.filter("toxic <> 1").drop("toxic"), checked, characters, "n"),
+        2: bounded_sample(keys, trial, characters, "u"),
+    }
+    rows = sample_texts(plain, chosen).mapInArrow(word_lists, "doc_id long, kind int, words array<string>").toArrow()  # bounded by the sample sizes
     drawn = Sample(rows)
-    if not (drawn.kind == 1).any() or not (drawn.kind == 2).any():
+    if not (drawn.kind == 1).any():
         return None
-    own = drawn.first_of_families()
-    index = drawn.choose(most_words, own)
-    p, u, n = (drawn.rows_of(k, index) for k in (1, 2, 0))
-    w, b = fit_nnpu(p, u, prior, penalty=drawn.best_penalty(most_words, own, prior))
+    own = drawn.first_of_families() & (drawn.kind == 1)
+    spelled, count = drawn.candidates(own)
+    counted = plain.select("text").mapInArrow(count_features(spelled), "f int, k long").groupBy("f").agg(F.sum("k").alias("k")).collect()
+    every = {r["f"]: r["k"] for r in counted}
+    documents, unlabelled = every.get(-1, 0), {f: every.get(i, 0) for i, f in enumerate(spelled)}
+    index = choose(spelled, count, int(own.sum()), unlabelled, documents, most_words)
+    p, n = drawn.rows_of(1, index), drawn.rows_of(0, index)
+    penalty = drawn.best_penalty(unlabelled, documents, most_words, own, prior)
+    groups = max(1, round(documents / GROUP))
+    dealt = plain.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "text").mapInArrow(feature_lists(index), "g long, features array<int>")
+    fitted = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(fit_groups(p, prior, penalty), "f int, weight double, n double")
+    mean = {r["f"]: r["w"] for r in fitted.groupBy("f").agg((F.sum("weight") / F.sum("n")).alias("w")).collect()}
+    w, b = np.array([mean[i] for i in range(len(index))]), mean[-1]
     # Labelled negatives are a sample of another rate than positives; both are weighed as found.
     share = (rates["t"] / max(1, p.n)) / (max(1, rates["n"] - rates["t"]) / max(1, n.n)) if n.n else 1.0
     gp, gn = p.times(w) + b, n.times(w) + b
@@ -254,9 +344,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     return {x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-6}, b, cut
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, checked: int = 6000, most_words: int = 2000) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per document."""
-    model = train(docs, labels, positives, unlabelled, checked, most_words)
+def toxicity(docs: DataFrame, labels: DataFrame, positives: int = 3000, checked: int = 6000, trial: int = 3000, characters: int = 32 << 20, most_words: int = 2000) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row per document. `characters` bounds the texts of each sample of labelled rows."""
+    model = train(docs, labels, positives, checked, trial, characters, most_words)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     if model is None:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

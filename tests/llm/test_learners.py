@@ -152,3 +152,33 @@ def test_views_exchange_labels():
 @pytest.mark.parametrize("word,want", [("hello", "a"), ("Hello###", "Aa###"), ("A1b2", "A9a9"), ("x!!!!!!", "a!!!"), ("ü", "a")])
 def test_shapes(word, want):
     assert ql.shape(word) == want
+
+
+def test_samples_are_bounded_for_repeated_rows(spark):
+    from gridloom.llm import common
+
+    rows = spark.range(5000).selectExpr("cast(7 as long) as doc_id", "concat('same ', id % 3) as text").unionByName(spark.range(100).selectExpr("id + 100 as doc_id", "concat('own ', id) as text"))
+    keys = common.row_keys(rows.repartition(4))
+    taken = common.bounded_sample(keys, 50, 10_000, "s")
+    assert len(taken) == len(set(taken)) == 50 and taken == common.bounded_sample(keys.repartition(3), 50, 10_000, "s")
+    every = common.bounded_sample(keys, 1000, 100_000, "s")
+    assert len(every) == 103
+    assert common.sample_texts(rows, {1: every, 0: taken}).count() == 153
+    assert 0 < sum(6 for _ in common.bounded_sample(keys, 1000, 60, "s")) <= 72
+    few = common.bounded_sample(spark.range(20000).selectExpr("id as doc_id", "'t' as text").transform(common.row_keys), 300, 10**6, "s")
+    assert len(few) == 300
+
+
+def test_learners_with_repeated_ids(spark):
+    from gridloom.llm import quality, toxicity
+
+    schema = "doc_id long, text string, source string, lang string, n_chars long, _score string, _kept string"
+    train = next(i for i in range(50) if __import__("zlib").crc32(str(i).encode()) % 3 != 1)
+    rows = [(train, f"vile filth number {i % 4}", "a", "en", 10, "s", "k") for i in range(800)]
+    rows += [(i, f"calm words of day {i}", "b", "en", 10, "s", "k") for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    labels = spark.createDataFrame([(train, 0, 1)] + [(i, 1, 0) for i in range(1000, 1200)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(docs, labels).count() == 1000
+    out = quality.classify_quality(docs, labels, whole=True)
+    assert out.columns == [*docs.columns, "__score", "__kept"] and out.count() == 1000
+    assert {(r["_score"], r["_kept"]) for r in out.select("_score", "_kept").distinct().collect()} == {("s", "k")}
