@@ -3,7 +3,8 @@
 Found and validated: payment card numbers (13 to 19 digits with a correct check digit), IBANs (mod 97), social security numbers,
 phone numbers, IPv4 addresses, calendar dates, e-mail addresses and 32 to 64 digit hexadecimal secrets after a key word. A value is
 permuted by a keyed Feistel network over the numbers of its own format (with cycle walking), and written back in that format:
-a card stays a card of its length with a right check digit, a date stays a date, an address an address. The permutation depends on
+a card stays a card of its length with a right check digit, an IBAN keeps its country and the places of its letters and digits, a
+phone number its calling code, a date stays a date, an address an address. The permutation depends on
 the value and key alone, so equal values stay linked across documents however they are written, and unequal values stay apart.
 Numbers that fail validation stay as they are. A card, IBAN or phone number that runs on into other text ends at the last separator
 up to which it is valid and cuts no other value.
@@ -22,6 +23,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import IntegerType, StructType, _parse_datatype_string
+
+from .common import fresh, slices
 
 #: The key of the registered query; a real corpus takes its own secret.
 KEY = "gridloom-demo-key"
@@ -41,6 +45,13 @@ FIND = re.compile(
 )
 #: A text without these has nothing to find.
 MAY = re.compile(r"[0-9@]")
+NUMBER = re.compile("[0-9]+")
+#: Calling codes of one and of two digits; all others have three.
+CALLING_1 = {"1", "7"}
+CALLING_2 = {
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55",
+    "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -127,7 +138,7 @@ def iban(s: str, key: str, back: bool) -> str | None:
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if not 15 <= len(raw) <= 34 or number(raw[4:] + raw[:4]) % 97 != 1:
         return None
-    body = in_alphabet(raw[4:], "0123456789", "iban", key, back) if raw[4:].isdigit() else in_alphabet(raw[4:], "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "iban", key, back)
+    body = by_kind(raw[4:], "iban:" + "".join("a" if c.isalpha() else "9" for c in raw[4:]), key, back)
     it = iter(f"{raw[:2]}{98 - number(body + raw[:2] + '00') % 97:02d}{body}")
     return "".join(" " if c == " " else next(it) for c in s)
 
@@ -173,41 +184,50 @@ def ssn(s: str, key: str, back: bool) -> str | None:
 
 
 def phone(s: str, key: str, back: bool) -> str | None:
-    """The country code stays; the national digits are permuted, however they are grouped."""
-    plus = re.match(r"\+[0-9]{1,3}", s)
-    if plus and len(s) > plus.end() and not s[plus.end()].isdigit():
-        head, tail = s[: plus.end()], s[plus.end() :]
-    elif plus:
-        head, tail = s[:2], s[2:]
-    else:
-        head, tail = "", s
-    digits = re.sub("[^0-9]", "", tail)
+    """The calling code stays, and a trunk zero in brackets behind it; the national digits are permuted, however they are grouped."""
+    at = 0
+    if s[0] == "+":
+        digits = re.sub("[^0-9]", "", s[:8])
+        code = next((digits[:k] for k, codes in ((1, CALLING_1), (2, CALLING_2)) if digits[:k] in codes), digits[:3])
+        left = len(code)
+        for at, c in enumerate(s, 1):
+            left -= c.isdigit()
+            if not left:
+                break
+        if m := re.compile(r"[ .\-]?\(0\)").match(s, at):
+            at = m.end()
+    digits = re.sub("[^0-9]", "", s[at:])
     if not 7 <= len(digits) <= 14:
         return None
-    return head + put_digits(tail, permuted(digits, "phone", key, back))
+    return s[:at] + put_digits(s[at:], permuted(digits, "phone", key, back))
 
 
-def email(s: str, key: str, back: bool) -> str | None:
-    """Letters of the local part by letters, digits by digits; domain and punctuation stay. Case is not kept."""
-    local, _, domain = s.rpartition("@")
-    low = local.lower()
-    kinds = "".join("a" if c.isalpha() else "9" if c.isdigit() else c for c in low)
-    letters, digits = "".join(c for c in low if c.isalpha()), "".join(c for c in low if c.isdigit())
-    label = f"email:{kinds}:{domain.lower()}"
-    # One permutation over all letters and digits together, so that equal shapes with unequal parts stay apart.
+def by_kind(text: str, label: str, key: str, back: bool) -> str:
+    """Text with its ASCII letters (in one case) permuted as letters and its digits as digits, each at its own place. One permutation
+    over all of them together, so that equal shapes with unequal parts stay apart."""
+    base = "a" if text.islower() else "A"
+    letters, digits = "".join(c for c in text if c.isalpha()), "".join(c for c in text if c.isdigit())
     net = network(26 ** len(letters) * 10 ** len(digits), label, key)
     n = 0
     for c in letters:
-        n = n * 26 + ord(c) - 97
+        n = n * 26 + ord(c) - ord(base)
     n = n * 10 ** len(digits) + int(digits or 0)
-    n = (net.back if back else net.forward)(n)
-    n, d = divmod(n, 10 ** len(digits))
+    n, d = divmod((net.back if back else net.forward)(n), 10 ** len(digits))
     out = []
     for _ in letters:
         n, r = divmod(n, 26)
-        out.append(chr(97 + r))
+        out.append(chr(ord(base) + r))
     a, b = iter(reversed(out)), iter(str(d).zfill(len(digits)) if digits else "")
-    return "".join(next(a) if c == "a" else next(b) if c == "9" else c for c in kinds) + "@" + domain
+    return "".join(next(a) if c.isalpha() else next(b) if c.isdigit() else c for c in text)
+
+
+def email(s: str, key: str, back: bool) -> str | None:
+    """Letters of the local part by letters, digits by digits; domain and punctuation stay. Case is not kept. A local part without
+    letters and digits is the only one of its format and stays."""
+    local, _, domain = s.rpartition("@")
+    low = local.lower()
+    kinds = "".join("a" if c.isalpha() else "9" if c.isdigit() else c for c in low)
+    return by_kind(low, f"email:{kinds}:{domain.lower()}", key, back) + "@" + domain
 
 
 def secret(s: str, key: str, back: bool) -> str | None:
@@ -278,7 +298,7 @@ def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, list[tup
         if new is None and kind not in ("card", "iban"):
             at = m.end() if kind == "ipv4" else m.start() + 1
         if new is None and text[m.start()].isdigit():  # go on behind this number, not inside it
-            at = m.start() + len(re.match("[0-9]+", text[m.start() :]).group())
+            at = NUMBER.match(text, m.start()).end()
         if new is not None:
             found.append((m.start(), end, kind))
             out += [text[done : m.start()], new]
@@ -286,29 +306,32 @@ def pseudonymise(text: str, key: str, back: bool = False) -> tuple[str, list[tup
     return "".join([*out, text[done:]]), found
 
 
-def treat_batches(key: str, names: list[str], at: int):
+def treat_batches(key: str, column: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
-            new, number, spans = [], [], []
-            for t in batch.column(at).to_pylist():
-                text, found = (None, []) if t is None else pseudonymise(t, key)
-                new.append(text)
-                number.append(len(found))
-                spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-            kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-            columns = [c if i != at else pa.array(new, pa.string()) for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32()), pa.array(spans, kinds)], [*names, "_n_pii", "_pii"])
+            at = batch.schema.get_field_index(column)
+            missing, done = batch.column(at).is_null().to_pylist(), 0
+            for part in slices(batch, column):
+                new, number, spans = [], [], []
+                for t, none in zip(part.column(at).to_pylist(), missing[done : done + part.num_rows], strict=True):
+                    text, found = (None, []) if none else pseudonymise(t, key)
+                    new.append(text)
+                    number.append(len(found))
+                    spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
+                done += part.num_rows
+                columns = [c if i != at else pa.array(new, pa.string()) for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32()), pa.array(spans, kinds)], names)
 
     return run
 
 
 def pseudonymise_documents(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with pseudonyms in the text column, and _n_pii and _pii (finds in the text as it was)."""
-    from pyspark.sql.types import IntegerType, StructType
-    from pyspark.sql.types import _parse_datatype_string as parse
-
-    schema = StructType([*docs.schema.fields]).add("_n_pii", IntegerType()).add("_pii", parse("array<struct<start:int,end:int,kind:string>>"))
-    return docs.mapInArrow(treat_batches(key, docs.columns, docs.columns.index(column)), schema)
+    """docs with pseudonyms in the text column, and _n_pii and _pii (finds in the text as it was), which take more underscores where
+    docs has such columns (see `fresh`)."""
+    number, finds = fresh("_n_pii", docs), fresh("_pii", docs)
+    schema = StructType([*docs.schema.fields]).add(number, IntegerType()).add(finds, _parse_datatype_string("array<struct<start:int,end:int,kind:string>>"))
+    return docs.mapInArrow(treat_batches(key, column, [*docs.columns, number, finds]), schema)
 
 
 def op9_pii_pseudonyms(spark, sf_dir: str) -> DataFrame:
