@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import cut, fresh, salted_join, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,22 +45,21 @@ class LineRuns:
     def __init__(self, spark: SparkSession, common: int, fanout: int = 4, partitions: int | None = None):
         self.spark, self.common, self.fanout = spark, common, fanout
         self.partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # A run knows how it is dealt and sorted only if it comes from a fixed plan: runs live in a session without adaptive plans.
+        self.own = spark.newSession()
+        self.own.conf.set("spark.sql.adaptive.enabled", "false")
+        self.own.conf.set("spark.sql.shuffle.partitions", str(self.partitions))
         self.levels: list[list[DataFrame]] = [[]]
 
     def _run(self, counts: DataFrame) -> DataFrame:
-        """A run knows how it is dealt and sorted only if it comes from a fixed plan, so this one is not adapted as it runs."""
-        adaptive = self.spark.conf.get("spark.sql.adaptive.enabled")
-        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
-        try:
-            return cut(counts.repartition(self.partitions, "h1", "h2").sortWithinPartitions("h1", "h2"))
-        finally:
-            self.spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        return cut(counts.repartition(self.partitions, "h1", "h2").sortWithinPartitions("h1", "h2"))
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
 
     def add(self, counts: DataFrame) -> None:
         """A batch's (h1, h2, n, first). Keys that a run already knows as common are left out: their count can change nothing."""
+        counts = counts if counts.sparkSession is self.own else written(counts, self.own)
         new = counts.repartition(self.partitions, "h1", "h2")
         for run in self.runs():
             new = new.join(run.filter(F.col("n") >= self.common).hint("merge"), ["h1", "h2"], "left_anti")
@@ -83,7 +82,7 @@ class LineRuns:
         """(h1, h2, first) of the keys found in at least `common` documents."""
         runs = self.runs()
         every = runs[0] if len(runs) == 1 else self._merged(runs)
-        return every.filter(F.col("n") >= self.common).select("h1", "h2", "first")
+        return written(every.filter(F.col("n") >= self.common).select("h1", "h2", "first"), self.spark)
 
 
 def batch_counts(docs: DataFrame, batches: int, least: int) -> DataFrame:
@@ -92,14 +91,15 @@ def batch_counts(docs: DataFrame, batches: int, least: int) -> DataFrame:
     return keyed.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches: int = 4, keep_first: bool = False, runs: LineRuns | None = None) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text: without the lines whose key at least `common` documents have.
+def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches: int = 4, keep_first: bool = False, runs: LineRuns | None = None, added: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
+    """docs with the columns `added` (lines, lines dropped, text left): without the lines whose key at least `common` documents have.
 
     With `keep_first`, such lines stay in the document that brought them first: the smallest doc_id of the earliest batch.
-    `runs` may hold earlier corpora; docs are added to it as `batches` batches. Columns of these names are replaced.
+    `runs` may hold earlier corpora; docs are added to it as `batches` batches. Columns of docs named as in `added` are replaced; any
+    other column passes through.
     """
     runs = runs or LineRuns(docs.sparkSession, common)
-    counts = cut(batch_counts(docs, batches, least))
+    counts = written(batch_counts(docs.select("doc_id", "text"), batches, least), runs.own)
     for b in range(batches):
         runs.add(counts.filter(F.col("batch") == b).drop("batch"))
     keys = runs.common_keys()
@@ -107,15 +107,17 @@ def drop_common_lines(docs: DataFrame, common: int = 10, least: int = 1, batches
     found = salted_join(lines, keys, ["h1", "h2"], F.col("doc_id"))
     if keep_first:
         found = found.filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    hits = found.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_common"))
-    hits = hits.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_doc"]), "left").drop("_doc")
+    own, hits, kept = fresh("_doc", docs), fresh("_common", docs), fresh("_kept", docs)
+    hit = found.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("h1", "h2")).alias(hits))
+    joined = docs.join(hit, docs["doc_id"].eqNullSafe(hit[own]), "left").drop(own)
     lines_ = lines_of(F.col("text"))
     both = F.arrays_zip(lines_.alias("line"), line_hashes(lines_, least).alias("key"))
-    kept = F.filter(both, lambda x: ~F.coalesce(F.array_contains(F.col("_common"), x["key"]), F.lit(False)))["line"]
-    joined = joined.withColumn("_kept", F.when(F.col("_common").isNull(), lines_).otherwise(kept))
-    joined = joined.withColumn("n_lines", F.size(lines_).cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-    return joined.withColumn("kept_text", F.array_join("_kept", "\n")).drop("_kept", "_common")
+    left = F.filter(both, lambda x: ~F.coalesce(F.array_contains(F.col(hits), x["key"]), F.lit(False)))["line"]
+    joined = joined.withColumn(kept, F.when(F.col(hits).isNull(), lines_).otherwise(left))
+    n_lines, n_dropped, text = added
+    whole = F.size(lines_).cast("long")
+    new = {n_lines: whole, n_dropped: whole - F.size(kept), text: F.array_join(kept, "\n")}
+    return joined.select(*(F.col(c) for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
