@@ -2,13 +2,16 @@
 
 Vectors are turned into integers floor(scale * x). Candidates are dealt evenly; a task sorts each stretch of its candidates by
 length and cuts it into buckets of similar length. For a query with k scores so far, the k-th score over (query length x the
-bucket's largest length) is the bucket's local cosine threshold: over 1, the bucket and all shorter ones are skipped (length
-pruning); where it is high, the coordinates that carry most of the query's length bound the rest by Cauchy-Schwarz (coordinate
-pruning); survivors are verified by exact products. Queries go in blocks of at most `block` rows, sent to every task of a pass.
-
-Defined results: vectors null, or with null or non-finite components, take no part; vectors of unequal dimension have no product;
-ties go to the smaller vec_id; rows that repeat the query's vec_id are its own; a query without candidates has no rows. Products
-are exact as long as they stay under 2^63.
+bucket's largest length) is the bucket's local cosine threshold. Over 1, the bucket is skipped. From SHARP on, coordinates prune: a
+candidate whose cosine reaches the threshold t has its part on the query's largest coordinate (of the two's directions, f and g)
+within g * t -+ sqrt((1 - g^2) * (1 - t^2)), and a sorted list of that coordinate gives the few that are in there. Under SHARP, length prunes: only
+candidates of at least k-th score over query length are looked at, a prefix of the bucket. Nothing is multiplied before it is pruned;
+what is left is verified by exact products. Query rows are numbered and go in blocks of at most `block`, sent to every task of a pass.
+
+Defined results: vectors null, or with null or non-finite components, or without a vec_id, take no part; vectors of unequal dimension
+have no product; ties go to the smaller vec_id; every query row has its own k results, and rows that repeat its vec_id are no
+candidates of it; a query without candidates has no rows, nor has an empty table. Components beyond 2^63 / scale are held there, and
+products are exact as long as they stay under 2^63.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from .common import written
 SCALE, K = 1024, 10
 #: Queries of one pass over the candidates: a block of 64-dimensional ones takes 2 MB.
 BLOCK = 4096
-#: Candidates of one bucket, and candidates handled at once.
-BUCKET, STRETCH = 512, 8192
+#: Candidates of one bucket, candidates handled at once, and queries of similar reach that are multiplied together.
+BUCKET, STRETCH, TOGETHER = 2048, 16384, 128
+#: The local cosine threshold from which coordinates prune more than lengths.
+SHARP = 0.8
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -59,64 +64,86 @@ class Best:
         self.score[q], self.id[q] = s[order], i[order]
 
 
-def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, query_norm: np.ndarray, heavy: np.ndarray, cand: np.ndarray, ids: np.ndarray, norm: np.ndarray, exact: bool) -> None:
-    """Score one bucket. heavy: per query, its coordinates by falling size."""
-    top = norm.max()
-    floor = best.floor()
-    limit = np.maximum(query_norm * top, 1e-30)
-    cosine = floor / limit  # local cosine thresholds; a k-th score that is missing is far below any
-    live = np.flatnonzero(cosine <= 1 + 1e-9)
-    if not len(live):
-        return
-    full = queries[live] @ cand.T if not exact else None
-    sharp = cosine[live] > 0.8
-    for at, q in enumerate(live.tolist()):
-        if full is not None and not sharp[at]:
-            s = full[at]
-            rows = np.flatnonzero(s >= floor[q])
-            s = s[rows].astype(np.int64)
-        else:
-            few = heavy[q, : max(1, heavy.shape[1] // 4)]
-            head = cand[:, few] @ queries[q, few]
-            rest_q = np.sqrt(max(0.0, float(query_norm[q]) ** 2 - float((queries[q, few].astype(float) ** 2).sum())))
-            rest_c = np.sqrt(np.maximum(norm**2 - (cand[:, few].astype(float) ** 2).sum(1), 0))
-            rows = np.flatnonzero(head + rest_q * rest_c * (1 + 1e-9) + 1e-3 >= floor[q])
-            s = (cand[rows] @ queries[q]).astype(np.int64)
-            rows, s = rows[s >= floor[q]], s[s >= floor[q]]
-        own = ids[rows] == query_ids[q]
-        if own.any():
-            rows, s = rows[~own], s[~own]
-        if len(rows):
-            best.merge(q, s, ids[rows])
+class Bucket:
+    """Candidates by falling length, with lists sorted by a coordinate of their directions as they are asked for."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, norm: np.ndarray):
+        self.vectors, self.ids, self.norm = vectors, ids, norm
+        self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
+    def between(self, coordinate: int, low: float, high: float) -> np.ndarray:
+        """Rows whose direction has a coordinate in the range."""
+        if coordinate not in self.lists:
+            part = self.vectors[:, coordinate] / np.maximum(self.norm, 1e-30)
+            order = np.argsort(part, kind="stable")
+            self.lists[coordinate] = part[order], order
+        part, order = self.lists[coordinate]
+        return np.sort(order[np.searchsorted(part, low) : np.searchsorted(part, high, side="right")])
 
-def search(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Rows (query_id, vec_id, score): each query's k best of a task's candidates."""
+
+def search_bucket(best: Best, queries: np.ndarray, query_ids: np.ndarray, query_norm: np.ndarray, bucket: Bucket) -> int:
+    """Score one bucket; returns how many products it took."""
+    floor = best.floor()
+    # Lengths that a candidate must have; a k-th score that is missing, or not over 0, asks for none.
+    reach = np.where(floor > 0, floor / np.maximum(query_norm, 1e-30) * (1 - 1e-9), -1.0)
+    upto = np.searchsorted(-bucket.norm, -reach, side="right")
+    cosine = reach / max(float(bucket.norm[0]), 1e-30)
+    products = 0
+
+    def merge(q: int, rows: np.ndarray, score: np.ndarray) -> None:
+        good = (score >= floor[q]) & (bucket.ids[rows] != query_ids[q])
+        if good.any():
+            best.merge(q, score[good].astype(np.int64), bucket.ids[rows[good]])
+
+    for q in np.flatnonzero((upto > 0) & (cosine >= SHARP)).tolist():
+        at = int(np.abs(queries[q]).argmax())
+        g, t = float(queries[q, at]) / max(float(query_norm[q]), 1e-30), min(1.0, float(cosine[q]))
+        slack = np.sqrt(max(0.0, 1 - g * g) * (1 - t * t)) + 1e-7
+        # Towards the direction itself any cosine over t is allowed, so the range is that of all angles up to arccos(t).
+        low, high = (-1.0 if g <= -t else g * t - slack), (1.0 if g >= t else g * t + slack)
+        rows = bucket.between(at, low, high)
+        rows = rows[rows < upto[q]]
+        products += len(rows)
+        if len(rows):
+            merge(q, rows, bucket.vectors[rows] @ queries[q])
+    wide = np.flatnonzero((upto > 0) & (cosine < SHARP))
+    wide = wide[np.argsort(upto[wide], kind="stable")]
+    for a in range(0, len(wide), TOGETHER):
+        some = wide[a : a + TOGETHER]
+        end = int(upto[some[-1]])
+        full = queries[some] @ bucket.vectors[:end].T
+        products += full.size
+        for i in np.flatnonzero((full >= floor[some][:, None]).any(1)).tolist():
+            rows = np.flatnonzero(full[i] >= floor[some[i]])
+            merge(int(some[i]), rows, full[i, rows])
+    return products
+
+
+def search(numbers: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
+    """Rows (q, query_id, vec_id, score): each query's k best of a task's candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim = queries.shape[1]
         best = Best(len(queries), k)
         peak = int(np.abs(queries).max(initial=0))
         norm_q = np.sqrt((queries.astype(float) ** 2).sum(1))
-        heavy = np.argsort(-np.abs(queries), axis=1)
         as_float = queries.astype(float)
         for batch in batches:
             v = batch.column("v")
-            same = pc.equal(pc.list_value_length(v), dim)
-            batch = batch.filter(same)
+            batch = batch.filter(pc.equal(pc.list_value_length(v), dim))
             for a in range(0, batch.num_rows, STRETCH):
                 part = batch.slice(a, STRETCH)
                 cand = np.asarray(part.column("v").flatten()).reshape(-1, dim)
                 ids = np.asarray(part.column("vec_id"))
-                exact = peak * int(np.abs(cand).max(initial=0)) * dim >= 2**53  # beyond floats: products of integers
+                whole = peak * int(np.abs(cand).max(initial=0)) * dim >= 2**53  # beyond floats: products of integers
                 norm = np.sqrt((cand.astype(float) ** 2).sum(1))
                 order = np.lexsort((ids, -norm))
-                use = cand if exact else cand.astype(float)
+                use = cand if whole else cand.astype(float)
                 for b in range(0, len(order), BUCKET):
                     rows = order[b : b + BUCKET]
-                    search_bucket(best, queries if exact else as_float, query_ids, norm_q, heavy, use[rows], ids[rows], norm[rows], exact)
+                    search_bucket(best, queries if whole else as_float, query_ids, norm_q, Bucket(use[rows], ids[rows], norm[rows]))
         q, r = np.nonzero(best.id != 2**63 - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(query_ids[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r])], ["q", "query_id", "vec_id", "score"])
 
     return run
 
@@ -125,26 +152,31 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = S
     """query_id, rank, vec_id, score of every query row against every other row."""
     spark = vectors.sparkSession
     whole = written(integer_vectors(vectors, scale))
-    asked = whole.filter(is_query).select("vec_id", "v", F.size("v").alias("_dim"))
-    out = None
-    # Blocks of queries by id range: each pass brings at most `block` of them to the driver and on to the tasks.
-    for dim in [r["_dim"] for r in asked.select("_dim").distinct().collect()]:
-        own, after = asked.filter(F.col("_dim") == dim).select("vec_id", "v"), None
+    asked = written(whole.filter(is_query).select(F.monotonically_increasing_id().alias("q"), "vec_id", "v", F.size("v").alias("dim")))
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    passes: list[DataFrame] = []
+    # Each pass brings at most `block` queries to the driver and on to the tasks, and leaves k rows a query.
+    for dim in sorted(r["dim"] for r in asked.select("dim").distinct().collect()):
+        own, after = asked.filter(F.col("dim") == dim), -1
         while True:
-            rows = (own if after is None else own.filter(F.col("vec_id") > after)).orderBy("vec_id").limit(block).toArrow()
+            rows = own.filter(F.col("q") > after).orderBy("q").limit(block).toArrow()
             if not rows.num_rows:
                 break
-            ids = np.asarray(rows["vec_id"])
+            numbers, ids = np.asarray(rows["q"]), np.asarray(rows["vec_id"])
             queries = np.asarray(rows["v"].combine_chunks().flatten()).reshape(-1, dim)
-            found = whole.mapInArrow(search(ids, queries, k), "query_id long, vec_id long, score long")
-            out = found if out is None else out.unionByName(found)
-            after = int(ids[-1])
-            if len(ids) < block:
+            found = whole.mapInArrow(search(numbers, ids, queries, k), "q long, query_id long, vec_id long, score long")
+            found = found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            last = len(ids) < block
+            passes.append(found if last and not passes else written(found))
+            after = int(numbers[-1])
+            if last:
                 break
-    if out is None:
+    if not passes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = passes[0]
+    for found in passes[1:]:
+        out = out.unionByName(found)
+    return out
 
 
 def op5_exact_top_k(spark, sf_dir: str) -> DataFrame:
