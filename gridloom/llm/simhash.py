@@ -4,8 +4,9 @@
    included; a bit is set if over half of the hashes have it.
 2. Equal fingerprints are one node, named by the fingerprint; a group is named by its smallest doc_id at the end.
 3. Two fingerprints within d bits agree on two of d + 2 blocks of bits, so each node goes to one bucket per pair of blocks. In a
-   bucket, a table of Hamming distances to reference fingerprints discards the pairs whose largest coordinate difference is over
-   d (the triangle inequality), and the survivors are verified. Nodes of buckets of over `tile` nodes (dense balls of near
+   bucket, a table of Hamming distances to reference fingerprints proposes the pairs: only nodes whose largest coordinate difference
+   is at most d can be within d bits (the triangle inequality). Nodes stand by the first coordinate and meet those that follow
+   within d of it, the other coordinates discard pairs, and the survivors are verified. Nodes of buckets of over `tile` nodes (dense balls of near
    copies) meet at points instead: two nodes within 3 bits share a point within 1 bit of one and 2 of the other, so each node
    goes to a fixed number of points and a point has a bounded number of nodes: the rows grow with the bucket, not its square.
 4. Tasks reduce their links to stars; components come from rounds over those (graph.py).
@@ -31,7 +32,7 @@ from .xxh import xxh64_many
 
 #: Nodes that a bucket may have before it is split further.
 TILE = 2048
-PIVOTS = 12
+PIVOTS = 4
 #: Shingles whose bits are unpacked at once.
 STEP = 1 << 18
 
@@ -120,26 +121,44 @@ def pivots() -> np.ndarray:
     return xxh64_many(np.arange(PIVOTS, dtype=np.uint8), np.arange(PIVOTS), np.ones(PIVOTS, np.int64), 7)
 
 
-def linked_pairs(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the pairs within `bits` bits in the same bucket; rows are sorted by (mask, key)."""
+def linked_pairs(mask: np.ndarray, key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row numbers of the pairs within `bits` bits in the same bucket, and how many pairs were formed.
+
+    In each bucket rows stand by their distance to the first pivot, and a row meets only those that follow within `bits` of it. The
+    other pivots then discard pairs before the fingerprints themselves are compared.
+    """
     table = np.bitwise_count(fp[:, None] ^ pivots()[None, :]).astype(np.int8)
-    a_all, b_all = [], []
-    same = np.arange(len(fp) - 1)
-    shift = 1
-    while len(same):
-        same = same[(same + shift < len(fp))]
-        same = same[(mask[same] == mask[same + shift]) & (key[same] == key[same + shift])]
-        a, b = same, same + shift
-        for p in range(PIVOTS):
-            if not len(a):
-                break
+    order = np.lexsort((table[:, 0], key, mask))
+    mask, key, table = mask[order], key[order], table[order]
+    new = np.ones(len(fp), bool)
+    new[1:] = (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])
+    place = np.cumsum(new) * 128 + table[:, 0]  # ascending; rows of another bucket are far off
+    reach = np.searchsorted(place, place + bits, side="right") - np.arange(len(fp)) - 1  # rows that each one meets
+    a_all, b_all, formed = [], [], 0
+    for start, stop in stretches(reach):
+        a = np.repeat(np.arange(start, stop), reach[start:stop])
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach[start:stop]) - reach[start:stop], reach[start:stop])
+        formed += len(a)
+        for p in range(1, PIVOTS):
             near = np.abs(table[a, p] - table[b, p]) <= bits
             a, b = a[near], b[near]
+        a, b = order[a], order[b]
         near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
         a_all.append(a[near])
         b_all.append(b[near])
-        shift += 1
-    return (np.concatenate(a_all), np.concatenate(b_all)) if a_all else (same, same)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(a_all), np.concatenate(b_all), formed) if a_all else (none, none, 0)
+
+
+def stretches(reach: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of rows that meet about `most` others together."""
+    total = np.cumsum(reach)
+    start = 0
+    while start < len(reach):
+        stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right")))
+        if total[stop - 1] > (total[start - 1] if start else 0):
+            yield start, stop
+        start = stop
 
 
 def links_in_buckets(bits: int):
@@ -149,7 +168,7 @@ def links_in_buckets(bits: int):
         def emit(rows: pa.Table):
             mask, key, fp = (np.asarray(rows[c]) for c in ("mask", "key", "fp"))
             node = np.asarray(rows["rep"])
-            a, b = linked_pairs(mask, key, fp.view(np.uint64), bits)
+            a, b, _ = linked_pairs(mask, key, fp.view(np.uint64), bits)
             x, y = local_stars(node[a], node[b])
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
