@@ -176,3 +176,39 @@ def made_prints(prints):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
     return run
+
+
+def test_lines_with_clashing_columns_and_long_texts(spark):
+    from gridloom.llm import line_dedup as ld
+
+    long_ = "\n".join(f"line {i}" for i in range(30_000))
+    rows = [(i, "same\nown" + str(i), "d", "c", "k") for i in range(12)] + [(100, long_, "d", "c", "k"), (101, None, "d", "c", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, _common string, _kept string").repartition(3)
+    out = ld.drop_common_lines(docs, common=3)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped", "kept_text"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 14 and all((r["_doc"], r["_common"], r["_kept"]) == ("d", "c", "k") for r in got.values())
+    assert got[3]["kept_text"] == "own3" and got[100]["kept_text"] == long_ and (got[101]["n_lines"], got[101]["kept_text"]) == (1, "")
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_pivots_form_fewer_pairs_and_miss_none():
+    import numpy as np
+
+    from gridloom.llm import simhash as sh
+
+    rng = np.random.default_rng(6)
+    per_node = []
+    for n in (4000, 16000):
+        fp = rng.integers(0, 2**63, n).astype(np.uint64)
+        fp[n // 2 :] = fp[: n - n // 2] ^ (np.uint64(1) << rng.integers(0, 64, n - n // 2).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n - n // 2).astype(np.uint64))
+        key = rng.integers(0, n // 200, n // 2)
+        key = np.concatenate([key, key[: n - n // 2]])
+        mask = np.zeros(n, np.int64)
+        a, b, formed = sh.linked_pairs(mask, key, fp, 3)
+        whole = sum(int(x) * (int(x) - 1) // 2 for x in np.bincount(key))
+        want = {(i, j) for k in np.unique(key).tolist() for at in [np.flatnonzero(key == k)] for i, j in zip(*(at[x] for x in np.nonzero(np.triu(np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]) <= 3, 1))), strict=True)}
+        assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)} == want
+        assert formed < 0.7 * whole
+        per_node.append(formed / n)
+    assert per_node[1] < 1.5 * per_node[0]  # as many a node where buckets are as large

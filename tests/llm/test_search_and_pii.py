@@ -37,6 +37,41 @@ def test_top_k(spark, scale):
         assert top[0, 1] == sum(int(np.floor(x)) * int(np.floor(y)) for x, y in zip(a, b, strict=True)) if (0, 1) in top else True
 
 
+def test_every_row_of_a_repeated_query_id_is_a_query(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 230, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (460, 6)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    want = brute(rows, k=4)
+    assert len(want) == 6 * 4
+    for block in (1, 2, 4, 4096):
+        assert sorted(tuple(r) for r in tk.exact_top_k(df, F.col("vec_id") % 100 == 0, k=4, block=block).collect()) == want
+
+
+def products_of(vectors, queries, k=10):
+    norm = np.sqrt((vectors**2).sum(1))
+    order = np.argsort(-norm, kind="stable")
+    best, taken = tk.Best(len(queries), k), 0
+    for a in range(0, len(order), tk.BUCKET):
+        rows = order[a : a + tk.BUCKET]
+        taken += tk.search_bucket(best, queries, np.full(len(queries), -1), np.sqrt((queries**2).sum(1)), tk.Bucket(vectors[rows], rows, norm[rows]))
+    full = queries @ vectors.T
+    want = [[int(i) for i in np.lexsort((np.arange(len(vectors)), -s))[:k]] for s in full]
+    assert best.id.tolist() == want
+    return taken / full.size
+
+
+def test_lengths_and_coordinates_spare_products():
+    rng = np.random.default_rng(4)
+    spread = np.floor(1024 * rng.normal(0, 1, (30000, 32)) * rng.lognormal(0, 1, (30000, 1)))
+    queries = np.floor(1024 * rng.normal(0, 1, (50, 32)))
+    assert products_of(spread, queries) < 0.3
+    # Vectors of one length in tight bunches: lengths say nothing, coordinates do.
+    centres = rng.normal(0, 1, (300, 32))
+    bunched = np.repeat(centres, 100, 0) + rng.normal(0, 0.02, (30000, 32))
+    bunched = np.floor(1024 * 8 * bunched / np.sqrt((bunched**2).sum(1, keepdims=True)))
+    assert products_of(bunched, bunched[::500]) < 0.6
+
+
 def test_top_k_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert tk.exact_top_k(empty, F.col("vec_id") % 100 == 0).count() == 0
@@ -114,3 +149,55 @@ def test_documents(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
     assert pii.pseudonymise_documents(df.limit(0)).count() == 0
     random.seed(0)
+
+
+def test_one_pseudonym_for_all_writings_of_a_number():
+    numbers = ["+442079460958", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+44-20-79460958"]
+    new = {re.sub("[^0-9]", "", pii.pseudonymise(n, "k")[0].replace("(0)", "")) for n in numbers}
+    assert len(new) == 1 and new.pop().startswith("44")
+    assert len({re.sub("[^0-9]", "", pii.pseudonymise(n, "k")[0])[-10:] for n in ("+1 202 555 0143", "(202) 555-0143", "202-555-0143", "+12025550143")}) == 1
+
+
+def test_ibans_keep_the_places_of_letters_and_digits():
+    for text in ("GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR1420041010050500013M02606", "DE89370400440532013000"):
+        new, found = pii.pseudonymise(text, "k")
+        assert [f[2] for f in found] == ["iban"] and new != text and new[:2] == text[:2]
+        assert re.sub("[A-Z]", "A", re.sub("[0-9]", "9", new)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text))
+        raw = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+
+
+#: Written by hand: text, and what is to be found in it.
+FINDS = [
+    ("pay 4111111111111111 12/26 now", [("card", "4111111111111111")]),
+    ("BE68 5390 0754 7034 PAID", [("iban", "BE68 5390 0754 7034")]),
+    ("+33 6 12 34 56 78", [("phone", "+33 6 12 34 56 78")]),
+    ("ring (202) 555-0143, or mail a.b@x.org", [("phone", "(202) 555-0143"), ("email", "a.b@x.org")]),
+    ("from 10.0.0.1 on 2020-01-31: 078-05-1120", [("ipv4", "10.0.0.1"), ("date", "2020-01-31"), ("ssn", "078-05-1120")]),
+    ("31.12.1999 and 12/31/1999, not 31/31/1999", [("date", "31.12.1999"), ("date", "12/31/1999")]),
+    ("nothing at 1234 5678", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), FINDS)
+def test_finds_written_by_hand(text, want):
+    assert [(k, text[a:b]) for a, b, k in pii.pseudonymise(text, "k")[1]] == want
+
+
+def test_failed_numbers_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        pii.pseudonymise("1234567890123 " * n, "k")
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 10 * seconds(10_000)
+
+
+def test_documents_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", 5, "x"), (2, None, 6, "y"), (3, "", 7, "z")], "doc_id long, text string, _n_pii long, _pii string").repartition(1)
+    out = pii.pseudonymise_documents(docs)
+    assert out.columns == ["doc_id", "text", "_n_pii", "_pii", "__n_pii", "__pii"]
+    assert [(r["doc_id"], r["_n_pii"], r["_pii"], r["__n_pii"], r["text"] is None) for r in out.orderBy("doc_id").collect()] == [(1, 5, "x", 1, False), (2, 6, "y", 0, True), (3, 7, "z", 0, False)]
