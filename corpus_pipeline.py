@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh, salted_join, without_rows, written
+from gridloom.llm.common import discard, fresh, salted_join, without_rows, written
 from gridloom.llm.line_dedup import drop_common_lines
 from gridloom.llm.packing import best_fit_pack, public_tokenizer
 from gridloom.llm.pii import pseudonymise_documents
@@ -20,12 +20,13 @@ def with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True).filter("_kept").select(*docs.columns)
+    return classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), whole=True).filter(F.col(fresh("_kept", docs))).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay only in the document that brought them first."""
-    return with_text(drop_common_lines(docs, keep_first=True), F.col("kept_text"), docs.columns)
+    added = tuple(fresh(c, docs) for c in ("n_lines", "n_dropped", "kept_text"))
+    return with_text(drop_common_lines(docs, keep_first=True, added=added), F.col(added[2]), docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written as Parquet and read again."""
+    """All stages over documents; each but the last is written as Parquet and read again, and its input then removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
