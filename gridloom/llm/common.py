@@ -104,14 +104,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         start = stop
 
 
-def text_words(text: pa.Array, separators: str = "\n") -> tuple[np.ndarray, np.ndarray, list[str]]:
+def coded_words(text: pa.Array, separators: str = "\n") -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets of the rows in the words, word numbers, distinct words): texts cut at spaces, and at `separators` as if spaces."""
     for c in separators:
         text = pc.replace_substring(text, c, " ")
     parts = pc.split_pattern(text, " ")
     coded = parts.flatten().dictionary_encode()
     offsets = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-    return offsets.astype(np.int64), np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
+    return offsets.astype(np.int64), np.asarray(coded.indices).astype(np.int64), coded.dictionary
+
+
+def text_words(text: pa.Array, separators: str = "\n") -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The same, with a list of words."""
+    offsets, number, words = coded_words(text, separators)
+    return offsets, number, words.to_pylist()
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -20,15 +20,15 @@ repeat a doc_id are scored each; a null doc_id is held out and scored; an empty
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, gather, held_out, row_keys, sample_texts, slices, text_words
+from .common import bounded_sample, coded_words, gather, held_out, row_keys, sample_texts, slices
 
 #: Lengths of the word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
@@ -36,22 +36,22 @@ STEMS = (4, 5, 6, 7, 8)
 PENALTIES = (1e-3, 1e-4, 1e-2)
 #: Unlabelled documents of one fit, and the most where many rows are alike.
 GROUP, MOST_GROUP = 4096, 8192
-EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+EDGES = r"^[^\p{L}]+|[^\p{L}]+$"
 
 
-def plain_word(word: str) -> str:
-    """A word without what is no letter at its ends, in lower case."""
-    return word.lower() if word.isalpha() else EDGES.sub("", word).lower()
+def plain_words(raw: pa.Array) -> pa.Array:
+    """Words without what is no letter at their ends, in lower case."""
+    return pc.utf8_lower(pc.if_else(pc.utf8_is_alpha(raw), raw, pc.replace_substring_regex(raw, EDGES, "")))
 
 
-def document_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def document_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row, word number, words): the distinct plain words of each text."""
-    offsets, number, raw = text_words(text, "\n\t\r")
-    known: dict[str, int] = {}
-    code = np.fromiter((known.setdefault(plain_word(w), len(known)) for w in raw), np.int64, len(raw))
+    offsets, number, raw = coded_words(text, "\n\t\r")
+    coded = plain_words(raw).dictionary_encode()
+    code, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary) + 1
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    pair = np.unique(row * (len(known) + 1) + code[number])
-    return pair // (len(known) + 1), pair % (len(known) + 1), list(known)
+    pair = np.unique(row * n + code[number])
+    return pair // n, pair % n, coded.dictionary
 
 
 def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
             row, code, words = document_words(part.column("text"))
             cuts = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(words, pa.string()).take(pa.array(code)))
+            lists = pa.ListArray.from_arrays(pa.array(cuts), words.take(pa.array(code)).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("kind"), lists], ["doc_id", "kind", "words"])
 
 
@@ -85,25 +85,43 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)] if word else []
 
 
-def feature_rows(row: np.ndarray, number: np.ndarray, words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class FeatureIndex:
+    """Features by number, ready to be looked up for whole arrays of words: those of a kind (the word, or a beginning of so many
+    letters; once or twice in a text) in one list."""
+
+    def __init__(self, index: dict[str, int]):
+        self.width = max(index.values(), default=0) + 1
+        lists: dict[tuple[int, int], tuple[list[str], list[int]]] = {}
+        for f, i in index.items():
+            bare = f.rstrip("*")
+            names, numbers = lists.setdefault((len(bare) if f != bare else 0, max(1, len(f) - len(bare))), ([], []))
+            names.append(bare)
+            numbers.append(i)
+        self.lists = {kind: (pa.array(names, pa.large_string()), np.array([*numbers, -1])) for kind, (names, numbers) in lists.items()}
+
+    def codes(self, words: pa.Array):
+        """For each kind: (feature of every word or -1, documents' words that must share it)."""
+        words = words.cast(pa.large_string())
+        length = np.asarray(pc.utf8_length(words))
+        for (letters, least), (names, numbers) in self.lists.items():
+            found = pc.index_in(pc.utf8_slice_codeunits(words, 0, letters) if letters else words, names)
+            code = numbers[np.asarray(pc.fill_null(found, -1))]
+            yield np.where(length > letters, code, -1), least
+
+
+def feature_rows(row: np.ndarray, number: np.ndarray, words: pa.Array | list[str], index: FeatureIndex | dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs, each once, of (row, word number) pairs. A beginning that two different words of a text share is a
     second feature, written with two stars."""
-    kinds = 1 + len(STEMS)
-    once, twice = np.full((2, len(words) + 1, kinds), -1, np.int64)
-    for i, w in enumerate(words):
-        for k, f in enumerate(word_features(w)):
-            once[i, k] = index.get(f, -1)
-            if k:
-                twice[i, k] = index.get(f + "*", -1)
-    rows, cols = [], []
-    width = max(index.values(), default=0) + 1
-    for table, least in ((once, 1), (twice, 2)):
-        for k in range(kinds):
-            f = table[number, k]
-            pair, times = np.unique((row * width + f)[f >= 0], return_counts=True)
-            pair = pair[times >= least]
-            rows.append(pair // width)
-            cols.append(pair % width)
+    index = index if isinstance(index, FeatureIndex) else FeatureIndex(index)
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for code, least in index.codes(words):
+        f = code[number]
+        some = np.flatnonzero(f >= 0)
+        pair, times = np.unique(row[some] * index.width + f[some], return_counts=True)
+        pair = pair[times >= least]
+        rows.append(pair // index.width)
+        cols.append(pair % index.width)
     return np.concatenate(rows), np.concatenate(cols)
 
 
@@ -224,7 +242,7 @@ def count_features(spelled: list[str]):
     """Rows (f, k): how many of a task's texts have each feature; f -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {f: i for i, f in enumerate(spelled)}
+        index = FeatureIndex({f: i for i, f in enumerate(spelled)})
         count, texts = np.zeros(len(spelled), np.int64), 0
         for batch in batches:
             for part in slices(batch, "text"):
@@ -241,9 +259,10 @@ def feature_lists(index: dict[str, int]):
     """Rows (group, features): the chosen features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = FeatureIndex(index)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, col = feature_rows(*document_words(part.column("text")), index)
+                row, col = feature_rows(*document_words(part.column("text")), lookup)
                 order = np.lexsort((col, row))
                 cuts = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(col[order].astype(np.int32)))
@@ -292,10 +311,10 @@ def score_batches(weights: dict[str, float], intercept: float, cut: float):
     value = np.array([*weights.values(), 0.0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = FeatureIndex(index)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, number, words = document_words(part.column("text"))
-                row, col = feature_rows(row, number, words, index)
+                row, col = feature_rows(*document_words(part.column("text")), lookup)
                 g = intercept + np.bincount(row, value[col], part.num_rows)
                 score = sigmoid(g - cut + np.log(0.7 / 0.3))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(score), pa.array((score >= 0.7).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
