@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python stage works on at once, whatever the Arrow batch holds (one longer text goes alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Salts of a hot join key.
 SALTS = 32
 #: Bits of a map that picks rows by number: a prime of 1 MB.

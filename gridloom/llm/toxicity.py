@@ -352,7 +352,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, checked: int, tria
     penalty = drawn.best_penalty(unlabelled, documents, most_words, own, prior)
     groups = max(1, round(documents / GROUP))
     dealt = plain.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"), "text").mapInArrow(feature_lists(index), "g long, features array<int>")
-    fitted = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(fit_groups(p, prior, penalty), "f int, weight double, n double")
+    # As many tasks as there are groups, at most four times the shuffle's: their rows are small, their work is not.
+    tasks = min(groups, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fitted = dealt.repartition(tasks, "g").sortWithinPartitions("g").mapInArrow(fit_groups(p, prior, penalty), "f int, weight double, n double")
     mean = {r["f"]: r["w"] for r in fitted.groupBy("f").agg((F.sum("weight") / F.sum("n")).alias("w")).collect()}
     w, b = np.array([mean[i] for i in range(len(index))]), mean[-1]
     # Labelled negatives are a sample of another rate than positives; both are weighed as found.
