@@ -7,6 +7,7 @@ from it, products by blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -296,3 +297,40 @@ def block_multiply(a, b, block: int = 512):
     pairs = left.join(right, F.col("bk") == F.col("bk2"))
     out = pairs.select("bi", "bj", "at_bi", "v_bi", "at_bk2", "v_bk2").mapInArrow(multiply, "i long, j long, v double")
     return Matrix(out.groupBy("i", "j").agg(F.sum("v").alias("v")), rows, cols)
+
+
+# Compensated sums: each task adds up exactly, in two parts, and the parts of all tasks are added.
+
+
+def _exact(rows: DataFrame, name: str, add: Callable) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        high, low = 0.0, 0.0
+        for b in batches:
+            values = add(*(c.drop_null().to_numpy(zero_copy_only=False) for c in b.columns))
+            new = math.fsum([high, low, *values])
+            low = math.fsum([high, low, -new, *values])
+            high = new
+        yield pa.RecordBatch.from_arrays([pa.array([high]), pa.array([low])], ["high", "low"])
+
+    return rows.mapInArrow(run, "high double, low double").agg((F.sum("high") + F.sum("low")).alias(name))
+
+
+def kahan_sum(df: DataFrame, value: Column) -> DataFrame:
+    """(sum): a sum without the rounding errors of adding one by one; nulls are left out, an empty table gives 0."""
+    return _exact(df.select(value.cast("double").alias("x")), "sum", lambda x: x.tolist())
+
+
+def compensated_dot(df: DataFrame, a: Column, b: Column) -> DataFrame:
+    """(dot): the sum of products of two columns, their rounding errors included; rows with a null are left out."""
+
+    def products(x: np.ndarray, y: np.ndarray) -> list[float]:
+        # Each product as its rounded value and what rounding lost (Dekker's splitting).
+        p = x * y
+        split = 134217729.0
+        xh = split * x - (split * x - x)
+        yh = split * y - (split * y - y)
+        xl, yl = x - xh, y - yh
+        return [*p.tolist(), *(((xh * yh - p) + xh * yl + xl * yh) + xl * yl).tolist()]
+
+    rows = df.select(a.cast("double").alias("a"), b.cast("double").alias("b")).filter("a is not null and b is not null")
+    return _exact(rows, "dot", products)

@@ -286,6 +286,25 @@ class Matrix:
             raise IndexError("index out of bounds")
         return self.assign(value, (F.col("i") == i - 1) & (F.col("j") == j - 1))
 
+    def set_block(self, row: int, col: int, block: Matrix) -> Matrix:
+        """A dense matrix with a block put where its first cell goes to (row, col), from 1."""
+        if self.sparse or not (1 <= row <= self.rows - block.rows + 1 and 1 <= col <= self.cols - block.cols + 1):
+            raise ShapeError("the block does not fit")
+        i, j = F.col("i"), F.col("j")
+        under = (i >= row - 1) & (i < row - 1 + block.rows) & (j >= col - 1) & (j < col - 1 + block.cols)
+        new = block.full().df.select((i + (row - 1)).alias("i"), (j + (col - 1)).alias("j"), "v")
+        return Matrix(self.df.filter(~under).select("i", "j", "v").unionByName(new), self.rows, self.cols)
+
+    def set_row(self, k: int, row: Matrix) -> Matrix:
+        if row.size() != (1, self.cols):
+            raise ShapeError("a row needs a value for each column")
+        return self.set_block(k, 1, row)
+
+    def set_col(self, k: int, col: Matrix) -> Matrix:
+        if col.size() != (self.rows, 1):
+            raise ShapeError("a column needs a value for each row")
+        return self.set_block(1, k, col)
+
     def assign_mask(self, mask: Matrix, value: float) -> Matrix:
         return self.pairwise(mask, lambda v, m: F.when(fm.truth(m), F.lit(float(value))).otherwise(v))
 

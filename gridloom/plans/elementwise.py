@@ -158,3 +158,7 @@ for _n, (_f, _sql) in NUMBER_THEORY.items():
     ORACLES[f"nt_{_n}"] = f"SELECT p_partkey, {_sql} AS y FROM part"
 QUERIES |= {"el_erf": _erf(fm.erf), "el_erfc": _erf(fm.erfc), "el_complex": _complex, "nt_primes": primes}
 ORACLES |= {"el_complex": COMPLEX_SQL, "nt_primes": "SELECT CAST(n AS DOUBLE) AS p FROM range(2, (SELECT max(p_partkey) + 1 FROM part)) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 200) r(d) WHERE d * d <= n AND n % d = 0)"}
+
+#: The series of the error function, summed to where its terms vanish for the values at hand.
+ERF_SQL = "list_sum(list_transform(range(0, 60), lambda n: CASE WHEN n % 2 = 0 THEN 1.0 ELSE -1.0 END * pow(c_acctbal / 5000.0, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) * 2 / sqrt(pi())"
+ORACLES |= {"el_erf": f"SELECT c_custkey, round({ERF_SQL}, 6) + 0.0 AS y FROM customer", "el_erfc": f"SELECT c_custkey, round(1 - {ERF_SQL}, 6) + 0.0 AS y FROM customer"}

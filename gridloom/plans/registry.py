@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import elementwise, matrices, texts
+from . import elementwise, features, matrices, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (elementwise, matrices, texts):
+for _part in (elementwise, matrices, texts, features):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -157,8 +157,13 @@ def invariants(spark, sf_dir: str) -> DataFrame:
 
 
 def tall_values(spark, sf_dir: str) -> DataFrame:
-    out = la.tall_singular_values(table(spark, sf_dir, "embeddings"), "embedding", 64)
-    return out.agg(F.round(F.sum(F.col("s") * F.col("s")), 5).alias("sum_squares"), F.count("*").alias("n"))
+    """Sums of squares and of fourth powers of the singular values, their number, and whether they fall; and the values of two columns."""
+    rows = table(spark, sf_dir, "embeddings")
+    two = la.tall_singular_values(rows.select(F.slice("embedding", 1, 2).alias("x")), "x", 2).groupBy().pivot("k", [0, 1]).agg(F.round(F.first("s"), 5))
+    out = la.tall_singular_values(rows, "embedding", 64)
+    s2 = F.col("s") * F.col("s")
+    out = out.agg(F.round(F.sum(s2), 5).alias("sum_squares"), F.round(F.sum(s2 * s2) / F.sum(s2), 5).alias("fourths"), F.count("*").alias("n"))
+    return out.join(two.withColumnsRenamed({"0": "s0", "1": "s1"}))
 
 
 def tall_fit(spark, sf_dir: str) -> DataFrame:
@@ -184,7 +189,11 @@ ORACLES = {
       round(((b1 * a22 - a12 * b2) - b0 * (a1 * a22 - a12 * a2) + a2 * (a1 * b2 - b1 * a2)) / det, 5) AS x1,
       round(((a11 * b2 - b1 * a12) - a1 * (a1 * b2 - b1 * a2) + b0 * (a1 * a12 - a11 * a2)) / det, 5) AS x2 FROM d""",
     "la_invariants": "SELECT DISTINCT l_returnflag, 1.0 AS lu, 1.0 AS qr, 1.0 AS svd, 1.0 AS chol, 1.0 AS eig, 1.0 AS inv, 3.0 AS rank FROM lineitem",
-    "la_tall_svd": "WITH e AS (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT round(sum(v * v), 5) AS sum_squares, 64 AS n FROM e",
+    "la_tall_svd": """WITH e AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings),
+      g AS (SELECT a.j AS p, b.j AS q, sum(a.v * b.v) AS v FROM e a JOIN e b USING (i) GROUP BY 1, 2),
+      t AS (SELECT sum(v) FILTER (p = 1 AND q = 1) AS a, sum(v) FILTER (p = 1 AND q = 2) AS b, sum(v) FILTER (p = 2 AND q = 2) AS d FROM g)
+      SELECT round((SELECT sum(v) FROM g WHERE p = q), 5) AS sum_squares, round((SELECT sum(v * v) / sum(v) FILTER (p = q) FROM g), 5) AS fourths, 64 AS n,
+        round(sqrt((a + d + sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 5) AS s0, round(sqrt((a + d - sqrt((a - d) * (a - d) + 4 * b * b)) / 2), 5) AS s1 FROM t""",
     "la_tall_least_squares": "SELECT round(regr_intercept(l_extendedprice / 10000, l_quantity / 10), 5) AS x0, round(regr_slope(l_extendedprice / 10000, l_quantity / 10), 5) AS x1 FROM lineitem",
 }
 for _n, _f in (("ct_map", map_query), ("cat_codes", categories), ("cat_list", category_list), ("tbl_addrow", add_row), ("tbl_removerow", remove_row), ("tbl_getrow", get_row), ("tbl_setvalue", set_value), ("tbl_height", height), ("la_det3", det_groups), ("la_solve3", solve_groups), ("la_invariants", invariants), ("la_tall_svd", tall_values), ("la_tall_least_squares", tall_fit)):

@@ -238,6 +238,9 @@ def library(me) -> dict:
         }
         return float(kind in tests and tests[kind]())
 
+    def dims_of(v) -> list[int]:
+        return [int(x) for x in v["dims"].reshape(-1)] if isinstance(v, dict) and "dims" in v else list(me.shape(v))
+
     def duration(size):
         return lambda x: it.Duration(it.scalar(x) * size)
 
@@ -273,7 +276,7 @@ def library(me) -> dict:
         "full": lambda m: m.full().to_numpy() if isinstance(m, Matrix) and m.numel() <= me.threshold else m.full() if isinstance(m, Matrix) else m, "nnz": lambda m: float(m.nnz().first()["nnz"]) if isinstance(m, Matrix) else float(np.count_nonzero(m)), "issparse": lambda m: float(isinstance(m, Matrix) and m.sparse),
         "sum": reduce("sum"), "mean": reduce("mean"), "prod": reduce("prod"), "std": reduce("std"), "var": reduce("var"), "max": extreme("max"), "min": extreme("min"),
         "sort": sort, "find": find, "unique": lambda m: np.unique(m.to_numpy() if isinstance(m, Matrix) else it.array(m)).reshape(1, -1), "cumsum": cumulative(np.cumsum, "cumsum"), "cumprod": cumulative(np.cumprod, "cumprod"), "diff": diff,
-        "size": lambda m, nargout=1: it.Many(map(float, me.shape(m))) if nargout > 1 else np.array([me.shape(m)], float), "length": lambda m: float(max(me.shape(m))), "numel": lambda m: float(math.prod(me.shape(m))), "isempty": lambda m: float(math.prod(me.shape(m)) == 0), "ndims": lambda m: float(m["dims"].size if isinstance(m, dict) else 2),
+        "size": lambda m, nargout=1: it.Many(map(float, dims_of(m))) if nargout > 1 else np.array([dims_of(m)], float), "length": lambda m: float(max(dims_of(m))), "numel": lambda m: float(math.prod(dims_of(m))), "isempty": lambda m: float(math.prod(dims_of(m)) == 0), "ndims": lambda m: float(len(dims_of(m))),
         "transpose": lambda m: m.T, "horzcat": lambda a, b: me.lift(a).horzcat(me.lift(b)) if isinstance(a, Matrix) or isinstance(b, Matrix) else np.hstack([it.array(a), it.array(b)]), "vertcat": lambda a, b: me.lift(a).vertcat(me.lift(b)) if isinstance(a, Matrix) or isinstance(b, Matrix) else np.vstack([it.array(a), it.array(b)]),
         "blkdiag": both(lambda a, b: np.block([[a, np.zeros((len(a), b.shape[1]))], [np.zeros((len(b), a.shape[1])), b]]), "blkdiag"), "kron": both(np.kron, "kron"), "repmat": both(lambda a, m, n: np.tile(a, (m, n)), "repmat"), "reshape": reshape,
         "flipud": both(np.flipud, "flipud"), "fliplr": both(np.fliplr, "fliplr"), "rot90": both(lambda a, k=1: np.rot90(a, k), "rot90"), "diag": both(diag, "diag"), "tril": both(np.tril, "tril"), "triu": both(np.triu, "triu"),

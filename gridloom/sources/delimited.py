@@ -1,7 +1,7 @@
 """Delimited, white-space and binary number files: readers with line order, and writers.
 
-Readers take any path that Spark reads. A line's place is its file position: files are read whole-line by Spark, numbered by
-(file, partition order) through monotonically_increasing_id, which follows the order of lines within a file.
+Readers take any path that Spark reads. A line's place is its file's name, the start of the block it was read in, and its order in
+that block (monotonically_increasing_id), whatever the order in which Spark packs files and blocks into tasks.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ DELIMITERS = (",", "\t", ";", " ")
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of the lines that are not blank, numbered from 0."""
-    raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).filter(F.trim("value") != "")
-    return global_rank(raw, [F.col("_id")], "line").select("line", "value")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    return global_rank(raw.filter(F.trim("value") != ""), [F.col("_file"), F.col("_block"), F.col("_id")], "line").select("line", "value")
 
 
 def _number(cell: Column) -> Column:
