@@ -240,20 +240,33 @@ class Maps:
 
 def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b), a over b, of different groups at a meeting, one of them outside the largest group there (`outer`), that the bounds
-    don't discard; each once a table. Rows come sorted by h and part."""
+    don't discard; each once a batch of them. Rows come sorted by h and part."""
+    def unique(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+        x, y = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new])], ["a", "b"])
+
     for rows in whole_meetings(batches):
         h, part, node, group, n, outer = (np.asarray(rows[c]) for c in ("h", "part", "node", "component", "n", "outer"))
         maps = Maps(rows["bits"].to_pylist())
-        found = set()
+        a, b, held = [], [], 0
         for begin, size in zip(*(x.tolist() for x in runs_of(h, part)), strict=True):
             here = np.arange(begin, begin + size)
             for i in here[outer[here]].tolist():
                 at = here[(group[here] != group[i]) & ~(outer[here] & (here < i)) & (5 * np.minimum(n[here], n[i]) >= 4 * np.maximum(n[here], n[i]))]
                 if len(at):
                     at = at[9 * maps.apart(i, at) <= n[at] + n[i]]
-                    found.update((max(int(node[i]), x), min(int(node[i]), x)) for x in node[at].tolist())
-        a, b = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a.append(np.full(len(at), node[i]))
+                    b.append(node[at])
+                    held += len(at)
+                    if held >= 200_000:
+                        yield unique(a, b)
+                        a, b, held = [], [], 0
+        yield unique(a, b)
 
 
 def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
