@@ -16,7 +16,7 @@ from ..script import Interpreter
 from ..sources import delimited
 from .elementwise import table
 from .lineage import shared_folder
-from .matrices import DIM, E, cells, embeddings
+from .matrices import E, cells, embeddings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
