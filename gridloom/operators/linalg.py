@@ -312,7 +312,7 @@ def _exact(rows: DataFrame, name: str, add: Callable) -> DataFrame:
             high = new
         yield pa.RecordBatch.from_arrays([pa.array([high]), pa.array([low])], ["high", "low"])
 
-    return rows.mapInArrow(run, "high double, low double").agg((F.sum("high") + F.sum("low")).alias(name))
+    return rows.mapInArrow(run, "high double, low double").agg(F.coalesce(F.sum("high") + F.sum("low"), F.lit(0.0)).alias(name))
 
 
 def kahan_sum(df: DataFrame, value: Column) -> DataFrame:
