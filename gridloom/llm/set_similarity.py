@@ -11,7 +11,8 @@
 4. Nodes of one size class at a meeting are tried with the lowest of them, one row a member however large a group is. Meetings of
    heavy shingles are dealt by node too, and the lowest nodes of their parts are tried with each other.
 5. Groups found so far need no trial inside. Where a meeting holds several groups, the nodes outside its largest one are tried with
-   all others of another group; in meetings of heavy shingles the outer ones are repeated in each part.
+   all others of another group; in meetings of heavy shingles the outer ones are repeated in each part. A pair is tried at one meeting
+   only, that of the first shingle that both have among their first `LEAD`, or at all its meetings if they share none of those.
 6. Pairs to be tried are discarded by sure bounds, then verified on the real sets. Alike sets have at most (n + m) / 9 elements that
    only one of them has, and the differing bits of their parity maps are never more (a map has a bit for each of n cells or more; a
    longer map folds to a shorter one). Texts of pairs left are picked by a bitmap of fixed size.
@@ -40,6 +41,8 @@ PART = 2 << 20
 PARTS = 16
 #: Share of the rows that heavy shingles are estimated from, rows of it that must have one, and the most there can be (8 MB).
 SHARE, SEEN, HEAVY = 1 / 64, 3, 1 << 20
+#: First shingles of a set that are kept beside it, to name one of the meetings of a pair.
+LEAD = 16
 #: A size class holds sizes of which the largest is at most 5/4 of the smallest.
 CLASS = float(np.log(1.25))
 
@@ -99,15 +102,31 @@ def size_class(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / CLASS + 1e-9).astype(np.int32)
 
 
-def describe(width: int):
-    """Rows (_row, node, n, fp, bits): a text's set by name, size, fingerprint and parity map."""
+def first_places(sizes: np.ndarray, h: np.ndarray, heavy: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(how many, their places in h): the first floor(n / 5) + 1 shingles of each set, or `most` of those, heavy ones last."""
+    late = np.zeros(len(h), bool)
+    if len(heavy) and len(h):
+        late = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
+    order = np.argsort(2 * np.repeat(np.arange(len(sizes)), sizes) + late, kind="stable")
+    many = np.where(sizes > 0, sizes // 5 + 1, 0)
+    if most is not None:
+        many = np.minimum(many, most)
+    return many, order[gather(np.cumsum(sizes) - sizes, many)]
+
+
+def describe(width: int, heavy: np.ndarray):
+    """Rows (_row, node, n, fp, bits, lead): a text's set by name, size, fingerprint, parity map and up to LEAD of its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART):
                 sizes, h = shingle_sets(part.column("text"), width)
-                columns = [part.column("_row"), pa.array(set_names(sizes, h)), pa.array(sizes), pa.array(set_fingerprints(sizes, h).view(np.int64)), pa.array(parity_maps(sizes, h), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["_row", "node", "n", "fp", "bits"])
+                many, at = first_places(sizes, h, heavy, LEAD)
+                lead, end = h[at].tobytes(), np.cumsum(many) * 8
+                lead = [lead[a:b] for a, b in zip((end - 8 * many).tolist(), end.tolist(), strict=True)]
+                columns = [part.column("_row"), pa.array(set_names(sizes, h)), pa.array(sizes), pa.array(set_fingerprints(sizes, h).view(np.int64))]
+                columns += [pa.array(parity_maps(sizes, h), pa.binary()), pa.array(lead, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["_row", "node", "n", "fp", "bits", "lead"])
 
     return run
 
@@ -149,16 +168,10 @@ def first_shingles(width: int, heavy: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, sizes, h in new_sets(batches, width):
-            late = np.zeros(len(h), bool)
-            if len(heavy) and len(h):
-                at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                late = heavy[at] == h
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(2 * row + late, kind="stable")
-            pick = order[gather(np.cumsum(sizes) - sizes, np.where(sizes > 0, sizes // 5 + 1, 0))]
-            own = node[row[pick]]
-            part = np.where(late[pick], own % PARTS, -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(part), pa.array(own), pa.array(sizes[row[pick]].astype(np.int32))], ["h", "part", "node", "n"])
+            many, at = first_places(sizes, h, heavy)
+            own, first = np.repeat(node, many), h[at]
+            part = np.where(np.isin(first, heavy), own % PARTS, -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(part), pa.array(own), pa.array(np.repeat(sizes, many).astype(np.int32))], ["h", "part", "node", "n"])
 
     return run
 
@@ -238,9 +251,30 @@ class Maps:
         return out
 
 
+class Leads:
+    """The first shingles of many rows, in their common order."""
+
+    def __init__(self, lead: list[bytes]):
+        self.many = np.fromiter(map(len, lead), np.int64, len(lead)) // 8
+        self.of = np.zeros((len(lead), LEAD), np.int64)
+        self.of[np.arange(LEAD) < self.many[:, None]] = np.frombuffer(b"".join(lead), np.int64)
+
+    def meet_here(self, i: int, others: np.ndarray, h: int) -> np.ndarray:
+        """Whether h is the first shingle that row i and each of the others share in these, or they share none."""
+        out = np.ones(len(others), bool)
+        own = self.of[i, : self.many[i]]
+        for begin in range(0, len(others), 4096):  # to bound memory
+            some = others[begin : begin + 4096]
+            theirs = self.of[some]
+            shared = (theirs[:, :, None] == own).any(2) & (np.arange(LEAD) < self.many[some, None])
+            out[begin : begin + 4096] = ~shared.any(1) | (theirs[np.arange(len(some)), shared.argmax(1)] == h)
+        return out
+
+
 def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b), a over b, of different groups at a meeting, one of them outside the largest group there (`outer`), that the bounds
-    don't discard; each once a batch of them. Rows come sorted by h and part."""
+    don't discard; each at one of its meetings if their first shingles tell which. Rows come sorted by h and part."""
+
     def unique(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
         x, y = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
         x, y = np.maximum(x, y), np.minimum(x, y)
@@ -252,14 +286,17 @@ def pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rows in whole_meetings(batches):
         h, part, node, group, n, outer = (np.asarray(rows[c]) for c in ("h", "part", "node", "component", "n", "outer"))
-        maps = Maps(rows["bits"].to_pylist())
+        maps, leads = Maps(rows["bits"].to_pylist()), Leads(rows["lead"].to_pylist())
         a, b, held = [], [], 0
         for begin, size in zip(*(x.tolist() for x in runs_of(h, part)), strict=True):
             here = np.arange(begin, begin + size)
             for i in here[outer[here]].tolist():
                 at = here[(group[here] != group[i]) & ~(outer[here] & (here < i)) & (5 * np.minimum(n[here], n[i]) >= 4 * np.maximum(n[here], n[i]))]
+                if part[begin] >= 0:  # outer ones are in every part of a heavy shingle's meeting: that of the lower one tries them
+                    at = at[~outer[at] | (np.minimum(node[at], node[i]) % PARTS == part[begin])]
                 if len(at):
                     at = at[9 * maps.apart(i, at) <= n[at] + n[i]]
+                    at = at[leads.meet_here(i, at, h[begin])]
                     a.append(np.full(len(at), node[i]))
                     b.append(node[at])
                     held += len(at)
@@ -319,10 +356,10 @@ def near_copies(texts: DataFrame, width: int = 5, bits: int = 3, share: float =
     """_row, component: the group of every row of texts(_row, text). Groups are joined by all pairs of sets that are 4/5 alike.
     texts is read several times and must have the same rows and row numbers each time. Null and empty texts are one group; an empty
     table has no rows."""
-    described = written(texts.select("_row", "text").mapInArrow(describe(width), "_row long, node long, n long, fp long, bits binary"))
-    nodes = written(described.groupBy("node").agg(F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("n", "fp", "bits"))))
-    first = first_shingles(width, heavy_shingles(texts, width, share, seen))
-    met = texts.select("text").mapInArrow(first, "h long, part int, node long, n int").repartition("h", "part").sortWithinPartitions("h", "part")
+    heavy = heavy_shingles(texts, width, share, seen)
+    described = written(texts.select("_row", "text").mapInArrow(describe(width, heavy), "_row long, node long, n long, fp long, bits binary, lead binary"))
+    nodes = written(described.groupBy("node").agg(F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("n", "fp", "bits", "lead"))))
+    met = texts.select("text").mapInArrow(first_shingles(width, heavy), "h long, part int, node long, n int").repartition("h", "part").sortWithinPartitions("h", "part")
     met = written(met.mapInArrow(meetings, "h long, part int, size_class int, node long, n int, least long"))
 
     same = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
@@ -340,7 +377,7 @@ def near_copies(texts: DataFrame, width: int = 5, bits: int = 3, share: float =
     open_ = counts.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
     rest = marked.join(open_, "h").withColumn("outer", F.col("component") != F.col("main")).drop("main")
     everywhere = F.when(F.col("outer") & (F.col("part") >= 0), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array("part"))
-    rest = rest.withColumn("part", F.explode(everywhere)).distinct().join(nodes.select("node", "bits"), "node")
+    rest = rest.withColumn("part", F.explode(everywhere)).distinct().join(nodes.select("node", "bits", "lead"), "node")
     across = written(rest.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(pairs_across, "a long, b long").distinct())
     if not across.isEmpty():
         links = written(links.unionByName(verified(across, texts, nodes, width)))

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 import corpus_pipeline as cp
 from gridloom.llm import set_similarity as ss
@@ -97,3 +99,45 @@ def test_stage_with_clashing_columns(spark):
     got = cp.near_dedup_stage(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(1, "a b c", 5, 6), (3, "d", 9, 1)]
+
+
+def test_a_pair_is_tried_at_one_meeting(spark):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([f"u{i}x{k}" for k in range(1 + i % 6)] + passage + [f"v{rng.randrange(9)}"]) for i in range(50)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    heavy = ss.heavy_shingles(rows, 5, 1.0, 3)
+    arrow = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(texts, pa.large_string())], ["_row", "text"])
+    for heavy in (heavy, heavy[:0]):
+        nodes = next(ss.describe(5, heavy)([arrow])).to_pandas().set_index("node")
+        met = next(ss.first_shingles(5, heavy)([arrow])).to_pandas().drop_duplicates()
+        met["component"], met["outer"] = met["node"], True
+        inner = met["node"] == met["node"].min()
+        met.loc[inner, "outer"] = False
+        late = met[(met["part"] >= 0) & met["outer"]]
+        met = pd.concat([met, *(late.assign(part=p) for p in range(ss.PARTS))]).drop_duplicates().sort_values(["h", "part"])
+        met = met.join(nodes[["bits", "lead"]], "node").astype({"part": "int32"})
+        wanted = set()
+        for _, here in met.groupby(["h", "part"]):
+            at = here["node"].tolist()
+            wanted |= {(max(x, y), min(x, y)) for x in at for y in at if x != y}
+        got = []
+        for batch in ss.pairs_across([pa.RecordBatch.from_pandas(met, preserve_index=False)]):
+            got += list(zip(batch["a"].to_pylist(), batch["b"].to_pylist()))
+        full = ss.Maps(nodes["bits"].tolist())
+        place = {x: i for i, x in enumerate(nodes.index)}
+        n = nodes["n"].to_numpy()
+        kept = {(x, y) for x, y in wanted if 9 * full.apart(place[x], np.array([place[y]]))[0] <= n[place[x]] + n[place[y]]}
+        assert len(got) == len(set(got)) and set(got) == kept and len(kept) > 100
+
+
+def test_leads_name_the_first_common_shingle():
+    rng = np.random.default_rng(8)
+    lists = [np.sort(rng.choice(40, rng.integers(0, ss.LEAD + 1), replace=False)).astype(np.int64) for _ in range(60)]
+    leads = ss.Leads([x.tobytes() for x in lists])
+    for i in range(60):
+        for h in range(0, 40, 7):
+            got = leads.meet_here(i, np.arange(60), h)
+            for j in range(60):
+                both = sorted(set(lists[i].tolist()) & set(lists[j].tolist()))
+                assert got[j] == (not both or both[0] == h)
