@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -87,8 +88,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(3)) == 1, F.lit(True))
 
 
+def release() -> None:
+    """Give what the allocators of this process hold but don't use back to the system: Python workers live on after a stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # in glibc only
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
-    """Row slices of a batch whose texts hold about `most` bytes; nulls become empty texts."""
+    """Row slices of a batch whose texts hold about `most` bytes; nulls become empty texts. Memory is released after the last."""
     at = batch.schema.get_field_index(column)
     text = batch.column(at)
     text = pc.fill_null(text if pa.types.is_large_string(text.type) else text.cast(pa.large_string()), "")
@@ -102,6 +110,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def coded_words(text: pa.Array, separators: str = "\n") -> tuple[np.ndarray, np.ndarray, pa.Array]:

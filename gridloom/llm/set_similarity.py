@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, picked_rows, row_bitmap, slices, written
+from .common import gather, picked_rows, release, row_bitmap, slices, written
 from .graph import components
 from .simhash import find_links, word_buffer
 from .xxh import xxh64_many
@@ -193,6 +193,7 @@ def whole_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             n += batch.num_rows
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
+    release()
 
 
 def runs_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
