@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,28 @@ def release() -> None:
         trim(0)
 
 
+#: What this process keeps from task to task, by what made it.
+_kept: dict[tuple, object] = {}
+
+
+def keep(make: Callable, *given):
+    """make(*given), kept for the tasks that follow until another stage asks for its own or none: Python workers serve one stage
+    after the other, and tables of several stages would add up."""
+    name = (make.__module__, make.__qualname__, given)
+    if name not in _kept:
+        keep_nothing()
+        _kept[name] = make(*given)
+    return _kept[name]
+
+
+def keep_nothing() -> None:
+    """Give up what earlier stages left in this process."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        release()
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
     """Row slices of a batch whose texts hold about `most` bytes; nulls become empty texts. Memory is released after the last."""
     at = batch.schema.get_field_index(column)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held_out, keep, slices
 
 STRETCH = 256
 UNKNOWN = "und"
@@ -140,15 +140,9 @@ class LanguageModel:
         return out, sizes
 
 
-@lru_cache(maxsize=2)
-def model_of(samples: tuple[tuple[str, str], ...]) -> LanguageModel:
-    """One per Python worker, built from the samples."""
-    return LanguageModel(samples)
-
-
 def classify(samples: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(samples) if samples else None
+        model = keep(LanguageModel, samples) if samples else None
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 texts = pc.utf8_lower(part.column("text")).to_pylist()

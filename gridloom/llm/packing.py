@@ -15,7 +15,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import IdStore, PairTable, merge_rounds
-from .common import cut, gather, slices, text_words
+from .common import cut, gather, keep, slices, text_words
 
 CAPACITY, END_ID = 4096, 1
 #: The split pattern of the word vocabulary.
@@ -103,9 +102,7 @@ class WordEncoder:
         return flat, lengths
 
 
-@lru_cache(maxsize=2)
 def word_store(path: str) -> IdStore:
-    """One per Python worker."""
     return IdStore(WordEncoder(path).encode, 250_000)
 
 
@@ -114,7 +111,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces_of(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = word_store(path)
+        store = keep(word_store, path)
         for batch in batches:
             for part in slices(batch, "text"):
                 offsets, number, words = text_words(part.column("text"))

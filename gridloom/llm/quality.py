@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from .common import bounded_sample, fresh, held_out, row_keys, sample_texts, slices, text_words
+from .common import bounded_sample, fresh, held_out, keep_nothing, row_keys, sample_texts, slices, text_words
 
 UPPER, LOWER, DIGITS, REPEAT = re.compile("[A-Z]+"), re.compile(r"[^\W\d_A-Z]+"), re.compile(r"\d+"), re.compile(r"([^\w\s])\1{2,}")
 STATS = 7
@@ -206,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, characte
 
 def score_batches(model: Model, threshold: float, returned: tuple[str, ...], added: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_nothing()
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 n = part.num_rows

@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import IdStore, PairTable, merge_rounds
-from .common import gather, slices, text_words
+from .common import gather, keep, slices, text_words
 from .packing import public_tokenizer
 
 MARK = "▁"
@@ -133,15 +132,9 @@ class PieceModel:
         return b"".join(repaired(out[a:b]) for a, b in zip([0, *ends], [*ends, len(out)], strict=True))
 
 
-@lru_cache(maxsize=2)
-def piece_model(path: str) -> PieceModel:
-    """One per Python worker."""
-    return PieceModel(path)
-
-
 def encode_batches(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = piece_model(path)
+        model = keep(PieceModel, path)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, bounds = model.encode_texts(part.column("text"))

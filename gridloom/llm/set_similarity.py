@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gather, picked_rows, release, row_bitmap, slices, written
+from .common import gather, keep_nothing, picked_rows, release, row_bitmap, slices, written
 from .graph import components
 from .simhash import find_links, word_buffer
 from .xxh import xxh64_many
@@ -133,6 +133,7 @@ def describe(width: int, heavy: np.ndarray):
 
 def new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(nodes, sizes, hashes) of a task's texts, each set but once."""
+    keep_nothing()
     seen: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text", PART):
