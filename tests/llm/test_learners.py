@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -84,6 +85,52 @@ def test_word_beginnings_are_features():
     assert all(len(x) == 0 for x in tx.feature_rows(row[:0], number[:0], [], {}))
 
 
+def test_candidates_against_brute_force():
+    """Words, beginnings and shared beginnings of three or more of the marked documents, in order, with their counts."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abü*"), rng.integers(0, 10))).strip("*") for _ in range(300)]
+    lists = [sorted(set(rng.choice(words, 25).tolist())) for _ in range(40)]
+    own = rng.random(40) < 0.7
+    once, twice = {}, {}
+    for ws in (ws for ws, mine in zip(lists, own, strict=True) if mine):
+        stems = [w[:k] + "*" for w in ws for k in tx.STEMS if len(w) > k and w[k - 1] != "*"]
+        for f in {*ws, *stems} - {""}:
+            once[f] = once.get(f, 0) + 1
+        for f in {f for f in stems if stems.count(f) > 1}:
+            twice[f] = twice.get(f, 0) + 1
+    want = [*((f, k) for f, k in sorted(once.items()) if k >= 3), *((f + "*", k) for f, k in sorted(twice.items()) if k >= 3)]
+    rows = pa.table({"kind": pa.array([1] * 40), "words": pa.array(lists, pa.list_(pa.string()))})
+    spelled, count = tx.Sample(rows).candidates(own)
+    assert list(zip(spelled, count.tolist(), strict=True)) == want and len(want) > 50
+    assert tx.Sample(rows).candidates(np.zeros(40, bool))[0] == [] == tx.Sample(rows.slice(0, 0)).candidates(np.zeros(0, bool))[0]
+
+
+def test_candidates_take_little_memory():
+    """120,000 different words, most of one document: only features that are found are spelled out (11 MB; 224 MB when all were)."""
+    rng = np.random.default_rng(8)
+    lists = [["common", *("".join(map(chr, x)) for x in rng.integers(97, 123, (2000, 10)))] for _ in range(60)]
+    sample = tx.Sample(pa.table({"kind": pa.array([1] * 60), "words": pa.array(lists, pa.list_(pa.string()))}))
+    tracemalloc.start()
+    spelled, _ = sample.candidates(np.ones(60, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "common" in spelled and peak < 30e6
+
+
+def test_only_toxic_texts_reach_the_driver(spark, monkeypatch):
+    """Word lists come from confirmed toxic rows; other rows send chosen features only."""
+    seen = []
+
+    class Watched(tx.Sample):
+        def __init__(self, rows):
+            seen.append(set(rows["kind"].to_pylist()))
+            super().__init__(rows)
+
+    monkeypatch.setattr(tx, "Sample", Watched)
+    docs, labels = tables(spark)
+    assert tx.toxicity(docs, labels).count() == docs.count() and seen == [{1}]
+
+
 def test_language_held_out(spark):
     docs, _ = tables(spark)
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
